@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from textmill.llm import chat_format, license_scan, sentencepiece_codec
+from textmill.llm import chat_format, decontam, license_scan, pii, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op6_decontaminate": decontam.op6_decontaminate,
+    "op8_pii": pii.op8_pii,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 
