@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from textmill.llm import chat_format, decontam, license_scan, pii, sentencepiece_codec
+from textmill.llm import chat_format, decontam, lattice, license_scan, minhash, pii, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op2_lattice_dedup": lattice.op2_lattice_dedup,
     "op3_license_scan": license_scan.op3_license_scan,
     "op6_decontaminate": decontam.op6_decontaminate,
+    "op7_minhash_dedup": minhash.op7_minhash_dedup,
     "op8_pii": pii.op8_pii,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 
 ORACLES = {
+    "op2_lattice_dedup": lattice.oracle(),
     "op3_license_scan": license_scan.oracle(),
     "op9_chat_format": chat_format.oracle(),
 }
