@@ -6,7 +6,8 @@ thousands of copies share next to nothing and so make copies of a large group un
 
 Only sample bands are shuffled for all documents. In a bucket of equal bands every member is compared with one
 leader, not with every other member; members unlike the leader go on among themselves, and where the triangle
-inequality of Jaccard distance allows a link to a member that the leader took, that pair is compared as well.
+inequality of Jaccard distance allows a link to a member that the leader took, they are compared with such members
+as well, a few at first and more in each round, until they link or have met them all.
 """
 
 from __future__ import annotations
@@ -196,6 +197,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, weigher) -> DataFrame:
     return rows.mapInArrow(compare, "a string, b string, similarity double")
 
 
+def _tries(gray: DataFrame, taken: DataFrame, each: int, turn: int, slack: float) -> DataFrame:
+    """Pairs to compare next for members x that are nearly like their leader: (x, leader, sx, parts, a, b).
+
+    Members that a leader took are one component, so x only has to meet one that it is like. They are dealt by hash
+    into parts of about `each` members, and x meets one part; whoever finds no link meets a part four times as large
+    in the next round, and all members in the end (parts = 1). A pair is left out only where the triangle inequality
+    of Jaccard distance rules out a link.
+    """
+    parts = taken.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / each), F.lit(1)).cast("int").alias("parts"))
+    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.col("parts"))
+    asking = gray.join(parts, "leader").select("x", "leader", "sx", "parts", slot("x").alias("slot"))
+    asked = taken.join(parts, "leader").select("leader", "y", "sy", slot("y").alias("slot"))
+    met = asking.join(asked, ["leader", "slot"], "left")
+    fits = (F.col("sy") <= F.col("sx") + slack) & (F.col("x") != F.col("y"))
+    return met.select("x", "leader", "sx", "parts", F.when(fits, F.greatest("x", "y")).alias("a"), F.when(fits, F.least("x", "y")).alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per input row: id, class_id, kept.
 
@@ -221,30 +239,37 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     source = docs.select(F.col(id_col).alias("id"), _node(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     texts = materialise(source.join(wanted.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select("node", "text").dropDuplicates(["node"]))
     active = active.select("band", "node")
-    done = None
-    waiting = None
-    limit = 4
+    done = gray = taken = None
+    limit, tries_each, turn = 4, 4, 0
     while True:
         led = active.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
         led = materialise(active.join(led, "band"))
         star = led.where((F.col("n") > limit) & (F.col("node") != F.col("leader"))).select("band", F.col("node").alias("a"), F.col("leader").alias("b"))
         few = led.where(F.col("n") <= limit).select("band", "node")
         pairs = star.select("a", "b").union(few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").where("a > b").select("a", "b"))
-        pairs = pairs if waiting is None else pairs.union(waiting)
+        tries = None
+        if gray is not None:
+            tries = materialise(_tries(gray, taken, tries_each, turn, 1 - threshold))
+            pairs = pairs.union(tries.where("a is not null").select("a", "b"))
+            tries_each *= 4
         pairs = pairs.distinct()
         fresh = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
         found = materialise(_verify(fresh, texts, weigher).distinct())
         done = found if done is None else done.union(found)
+        if tries is not None:
+            met = tries.join(done.where(F.col("similarity") >= threshold), ["a", "b"], "left_semi").select("x", "leader").distinct()
+            gray = tries.where("parts > 1").select("x", "leader", "sx").distinct().join(met, ["x", "leader"], "left_anti")
         # members unlike their leader go on among themselves; some may be like members that the leader took
-        judged = star.join(done, ["a", "b"])
-        rest = materialise(judged.where(F.col("similarity") < threshold).select("band", F.col("a").alias("node"), "b", "similarity"))
-        gray = rest.where(F.col("similarity") >= 2 * threshold - 1).select("band", "b", F.col("node").alias("x"), F.col("similarity").alias("sx"))
-        taken = judged.where(F.col("similarity") >= threshold).select("band", "b", F.col("a").alias("y"), F.col("similarity").alias("sy"))
-        waiting = materialise(gray.join(taken, ["band", "b"]).where(F.col("sy") <= F.col("sx") + (1 - threshold)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-        active = rest.select("band", "node")
-        if rest.isEmpty() and waiting.isEmpty():
+        judged = materialise(star.join(done, ["a", "b"]))
+        rest = judged.where(F.col("similarity") < threshold)
+        new_gray = rest.where(F.col("similarity") >= 2 * threshold - 1).select(F.col("a").alias("x"), F.col("b").alias("leader"), F.col("similarity").alias("sx")).distinct()
+        new_taken = judged.where(F.col("similarity") >= threshold).select(F.col("b").alias("leader"), F.col("a").alias("y"), F.col("similarity").alias("sy")).distinct()
+        gray = materialise(new_gray if gray is None else gray.union(new_gray).distinct())
+        taken = materialise(new_taken if taken is None else taken.union(new_taken).distinct())
+        active = rest.select("band", F.col("a").alias("node"))
+        if gray.isEmpty() and active.isEmpty():
             break
-        limit *= 4
+        limit, turn = min(64, limit * 4), turn + 1
     links = done.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     grouped = components(links)
     label = nodes.select("node", "first_id").join(grouped, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
