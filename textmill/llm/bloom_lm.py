@@ -195,16 +195,15 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     size = model.agg(F.coalesce(F.sum(F.octet_length("keys") + F.octet_length("counts") + F.octet_length("bits")), F.lit(0)).alias("b")).first()["b"]
     if size > BROADCAST_BYTES:
         raise ValueError(f"the filter takes {size} bytes; BROADCAST_BYTES allows {BROADCAST_BYTES}")
-    rows = sorted(model.collect(), key=lambda r: r["shard"])
-    one, two = [r for r in rows if not r["pair"]], [r for r in rows if r["pair"]]
-    import numpy as np
-
-    keys = b"".join(bytes(r["keys"]) for r in one)
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32 if len(r["counts"]) * 2 == len(r["keys"]) else np.uint64).astype(np.int64) for r in one]) if one else np.zeros(0, np.int64)
-    counts = counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
-    total, distinct, once = sum(r["tokens"] for r in one), len(counts), sum(r["once"] for r in one)
-    payload = (keys, counts.tobytes(), counts.dtype.str, {r["shard"]: bytes(r["bits"]) for r in one}, {r["shard"]: bytes(r["bits"]) for r in two}, total, distinct, once)
-    del rows, one, two, counts, keys
+    # one copy on the driver: shard by shard, joined only by the workers
+    words, bits, total, distinct, once = {}, {True: {}, False: {}}, 0, 0, 0
+    for r in model.toLocalIterator():
+        bits[r["pair"]][r["shard"]] = r["bits"]
+        if not r["pair"]:
+            words[r["shard"]] = (r["keys"], r["counts"])
+            total, distinct, once = total + r["tokens"], distinct + r["grams"], once + r["once"]
+    payload = (words, bits[False], bits[True], total, distinct, once)
+    del words, bits
     shared = spark.sparkContext.broadcast(payload)
     del payload
     source = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
@@ -212,6 +211,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     kept = [f.name for f in source.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         from textmill.llm.tokens import slices
 
         m = _Model(shared.value, n_shards)
@@ -232,8 +233,10 @@ class _Model:
     def __init__(self, payload, n_shards):
         import numpy as np
 
-        keys, counts, kind, one, two, self.total, self.distinct, self.once = payload
-        self.keys, self.counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, kind)
+        words, one, two, self.total, self.distinct, self.once = payload
+        order = sorted(words)
+        self.keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(words[s][0], np.uint64) for s in order]])
+        self.counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(c, np.uint32 if 2 * len(c) == len(k) else np.uint64) for k, c in map(words.get, order)]])
         self.one, self.two = LogFilter(one, n_shards), LogFilter(two, n_shards)
         self.values = level_counts()
 
