@@ -24,20 +24,20 @@ DECAY, SPAN, LETTERS = 0.6, 7, 28
 LABELLED_ROWS, INSULTS, OTHERS, LANDMARKS = 40_000, 1_500, 24_000, 256
 CACHE_WORDS = 400_000
 
-_FOLD: dict = {}
+class _Fold(dict):
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        base = unicodedata.normalize("NFKD", c)[:1] if c != "ß" else "s"
+        out = self[code] = base if "a" <= base <= "z" else "{" if c.isalpha() else ""
+        return out
+
+
+_FOLD = _Fold()
 
 
 def fold(word: str) -> str:
-    """Letters of a word as a-z without accents; everything else is dropped."""
-    if word.isascii():
-        return "".join(c for c in word.lower() if "a" <= c <= "z")
-    out = []
-    for c in word.lower():
-        if c not in _FOLD:
-            base = unicodedata.normalize("NFKD", c)[:1] if c != "ß" else "s"
-            _FOLD[c] = base if "a" <= base <= "z" else "{" if c.isalpha() else ""
-        out.append(_FOLD[c])
-    return "".join(out)
+    """Letters of a word as a-z without accents, other letters as one mark; everything else is dropped."""
+    return word.lower().translate(_FOLD)
 
 
 def units(text: str) -> set[str]:
@@ -148,47 +148,65 @@ def train(insults: list[str], others: list[str], seed: int = 7):
 
 
 class Scorer:
-    """Margins of words, with a bounded cache; one per Python worker."""
+    """Margins of words in batches, with bounded caches; one per Python worker."""
 
     def __init__(self, weights, bias: float):
-        self.weights, self.bias, self.seen = weights, bias, {}
+        self.weights, self.bias = weights, bias
+        self.seen: dict[str, float] = {}
         self.folded: dict[str, float] = {}
 
-    def word(self, w: str) -> float:
-        m = self.seen.get(w)
-        if m is None:
-            f = fold(w)
-            m = self.folded.get(f)
-            if m is None:
-                m = max(self._margin(f[k : k + 40]) for k in range(0, max(1, len(f) - 20), 20))
-                if len(self.folded) >= CACHE_WORDS:
-                    self.folded.clear()
-                self.folded[f] = m
-            if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
-            self.seen[w] = m
-        return m
-
-    def _margin(self, f: str) -> float:
-        s = [0, *[ord(c) - 96 for c in f], 0]
-        n, out, norm = len(s), 0.0, {}
-        for i in range(n - 2):
-            for a in range(i + 1, min(n - 1, i + SPAN - 1)):
-                base = (s[i] * LETTERS + s[a]) * LETTERS
-                for b in range(a + 1, min(n, i + SPAN)):
-                    k = base + s[b]
-                    norm[k] = norm.get(k, 0.0) + _POWER[b - i + 1]
-        if norm:
-            ids = list(norm)
-            vals = list(norm.values())
-            out = sum(v * x for v, x in zip(vals, self.weights[ids].tolist())) / sum(v * v for v in vals) ** 0.5
-        return out + self.bias
-
-    def text(self, text: str) -> float:
-        return max(map(self.word, units(text)), default=-9.0)
-
-
-_POWER = [DECAY**k for k in range(SPAN + 2)]
+    def margins(self, words: list[str]):
+        """Margins of folded words of one length, all at once."""
+        import numpy as np
+
+        length = len(words[0])
+        n = length + 2
+        s = np.zeros((len(words), n), np.int64)
+        s[:, 1:-1] = np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), length) - 96
+        ids = [(s[:, : n - b] * LETTERS + s[:, a : n - b + a]) * LETTERS + s[:, b:] for a in range(1, SPAN - 1) for b in range(a + 1, SPAN) if n > b]
+        if not ids:
+            return np.full(len(words), self.bias)
+        values = np.concatenate([np.full(n - b, DECAY ** (b + 1)) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN) if n > b])
+        ids = np.concatenate(ids, axis=1)
+        dot = self.weights[ids] @ values.astype(np.float32)
+        order = ids.argsort(axis=1)
+        ids = np.take_along_axis(ids, order, 1)
+        new = np.ones(ids.shape, bool)
+        new[:, 1:] = ids[:, 1:] != ids[:, :-1]
+        sums = np.add.reduceat(values[order].reshape(-1), np.flatnonzero(new)) ** 2
+        norm = np.add.reduceat(sums, np.append(0, np.cumsum(new.sum(axis=1))[:-1]))
+        return dot / np.sqrt(norm) + self.bias
+
+    def learn(self, words: set[str]) -> None:
+        """Put the margins of words into the cache."""
+        if len(self.seen) + len(words) > CACHE_WORDS:
+            self.seen.clear()
+            self.folded.clear()
+        plain = {w: fold(w) for w in words}
+        pieces = {f: [f[k : k + 40] for k in range(0, max(1, len(f) - 20), 20)] for f in set(plain.values()) if f not in self.folded}
+        by_length: dict[int, list[str]] = {}
+        for p in {p for ps in pieces.values() for p in ps}:
+            by_length.setdefault(len(p), []).append(p)
+        found: dict[str, float] = {}
+        for same in by_length.values():
+            for at in range(0, len(same), 2048):
+                part = same[at : at + 2048]
+                found.update(zip(part, self.margins(part).tolist()))
+        for f, ps in pieces.items():
+            self.folded[f] = max(found[p] for p in ps)
+        for w, f in plain.items():
+            self.seen[w] = self.folded[f]
+
+    def texts(self, texts: list[str]) -> list[float]:
+        """The largest margin of each text; -9 without words."""
+        found = [units(t) for t in texts]
+        words = set().union(*found)
+        missing = words.difference(self.seen)
+        if missing:
+            self.learn(missing)
+            self.learn(words.difference(self.seen))  # the rest, if the cache was emptied on the way
+        get = self.seen.__getitem__
+        return [max(map(get, u), default=-9.0) for u in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple:
@@ -240,7 +258,9 @@ def _margins(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            out = [scorer.text(cell.as_py() or "") for cell in batch.column("text")]
+            out: list[float] = []
+            for at in range(0, batch.num_rows, 64):
+                out += scorer.texts([t or "" for t in batch.column("text").slice(at, 64).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(out, pa.float64())], names=[*keep, "margin"])
 
     return run
