@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from textmill.llm.common import components, materialise, table
 
 SEED = 8128
-#: Tables, blocks of eight dimensions per table, and side of the lattice: at cosine 0.98 a pair shares a table with
+#: Tables, blocks of eight dimensions per table, and side of the lattice for 64 dimensions (a block holds a larger
+#: share of a shorter vector, so the side grows with the root of 64 / dimensions): at cosine 0.98 a pair shares a table with
 #: a probability of about 0.85, and misses all of them with about 1e-5 (measured in the tests against brute force).
 TABLES, BLOCKS, SCALE = 6, 2, 0.3
 #: Vectors of a cell that are compared within one group; larger cells are cut into blocks of about this size.
@@ -67,7 +68,8 @@ class Hasher:
 
         rng = np.random.default_rng([SEED, dim])
         wide = max(dim, 8 * BLOCKS)
-        self.dim, self.turns = dim, [np.linalg.qr(rng.standard_normal((wide, wide)))[0][:dim, : 8 * BLOCKS] / SCALE for _ in range(TABLES)]
+        side = SCALE * (64 / wide) ** 0.5
+        self.dim, self.turns = dim, [np.linalg.qr(rng.standard_normal((wide, wide)))[0][:dim, : 8 * BLOCKS] / side for _ in range(TABLES)]
         self.salt = rng.integers(1, 1 << 62, (TABLES, BLOCKS, 8)).astype(np.uint64) | np.uint64(1)
         self.roots = e8_roots()
 
