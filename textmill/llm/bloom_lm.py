@@ -70,12 +70,20 @@ def ngrams(data, at, n_docs):
     return uni, history, first, mix(uni + history * np.uint64(PAIR))
 
 
-def _probe_positions(keys, level, k, size):
-    from textmill.llm.tokens import mix
+def _places(keys, level: int, blocks, n_shards: int):
+    """(block, hash) of each key at a level: all probes of an item fall into one block of 512 bits.
+
+    Blocks of the first two levels follow the order of the keys, so that sorted keys walk through the filter; higher
+    levels, of which a frequent key has many, are spread over all blocks.
+    """
     import numpy as np
 
-    h = mix(keys + np.asarray(level).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-    return ((h >> np.uint64(32)) + (h | np.uint64(1)) * np.uint64(k + 1)) % size
+    from textmill.llm.tokens import mix
+
+    h = mix(keys + np.uint64(level) * np.uint64(0x8EBC6AF09C88C6E3))
+    low = np.uint64(0xFFFFFFFF)
+    spot = (keys >> np.uint64(32)) * np.uint64(n_shards) & low if level <= 2 else mix(h) & low
+    return spot * blocks >> np.uint64(32), h
 
 
 class LogFilter:
@@ -84,7 +92,7 @@ class LogFilter:
     def __init__(self, shards: dict[int, bytes], n_shards: int):
         import numpy as np
 
-        parts = [np.frombuffer(shards.get(i) or b"\0" * 8, np.uint8) for i in range(n_shards)]
+        parts = [np.frombuffer(shards.get(i) or b"\0" * 64, np.uint8) for i in range(n_shards)]
         self.n, self.bits = n_shards, np.concatenate(parts)
         self.start = np.append(0, np.cumsum([len(p) for p in parts]))[:-1].astype(np.uint64) * np.uint64(8)
         self.size = np.array([len(p) * 8 for p in parts], np.uint64)
@@ -100,12 +108,12 @@ class LogFilter:
             k = keys[left]
             shard = shard_of(k, self.n)
             start, size = self.start[shard], self.size[shard]
-            hit = np.ones(len(left), bool)
+            block, h = _places(k, level, size >> np.uint64(9), self.n)
+            base = start + (block << np.uint64(9))
             for p in range(PROBES):
-                on = np.flatnonzero(hit)
-                pos = start[on] + _probe_positions(k[on], level, p, size[on])
-                hit[on] = (self.bits[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1
-            left = left[hit]
+                pos = base + (h >> np.uint64(9 * p) & np.uint64(511))
+                hit = ((self.bits[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                left, base, h = left[hit], base[hit], h[hit]
             out[left] = level
             level += 1
         return out
@@ -117,17 +125,18 @@ def shard_of(keys, n_shards: int):
     return ((keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
 
 
-def filter_bytes(keys, level) -> bytes:
+def filter_bytes(keys, level, n_shards: int = 1) -> bytes:
     """Bits of one shard that holds each key at levels 1..level."""
     import numpy as np
 
     items = int(level.sum())
-    size = max(64, -(-items * BITS // 64) * 64)
+    size = max(512, -(-items * BITS // 512) * 512)
     bits = np.zeros(size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         some = keys[level >= q]
+        block, h = _places(some, q, np.uint64(size >> 9), n_shards)
         for p in range(PROBES):
-            bits[_probe_positions(some, q, p, np.uint64(size)).astype(np.int64)] = True
+            bits[((block << np.uint64(9)) + (h >> np.uint64(9 * p) & np.uint64(511))).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -174,7 +183,7 @@ def train(texts: DataFrame, n_shards: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         keys, n = keys[first], np.add.reduceat(n, first)
         pair = rows.column("pair")[0].as_py()
-        out = {"shard": rows.column("shard")[0].as_py(), "pair": pair, "keys": b"" if pair else keys.tobytes(), "counts": b"" if pair else n.astype(np.uint32 if n.max() < 1 << 32 else np.uint64).tobytes(), "bits": filter_bytes(keys, levels(n)), "grams": len(keys), "tokens": int(n.sum()), "once": int((n == 1).sum())}
+        out = {"shard": rows.column("shard")[0].as_py(), "pair": pair, "keys": b"" if pair else keys.tobytes(), "counts": b"" if pair else n.astype(np.uint32 if n.max() < 1 << 32 else np.uint64).tobytes(), "bits": filter_bytes(keys, levels(n), n_shards), "grams": len(keys), "tokens": int(n.sum()), "once": int((n == 1).sum())}
         return pa.table({k: pa.array([v], t) for (k, v), t in zip(out.items(), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))})
 
     counted = texts.mapInArrow(lambda batches: _counted(batches, n_shards), _SHARD)
