@@ -80,7 +80,7 @@ def _places(keys, level: int, blocks, n_shards: int):
 
     from textmill.llm.tokens import mix
 
-    h = mix(keys + np.uint64(level) * np.uint64(0x8EBC6AF09C88C6E3))
+    h = mix(keys + np.uint64(level * 0x8EBC6AF09C88C6E3 & (1 << 64) - 1))
     low = np.uint64(0xFFFFFFFF)
     spot = (keys >> np.uint64(32)) * np.uint64(n_shards) & low if level <= 2 else mix(h) & low
     return spot * blocks >> np.uint64(32), h
