@@ -89,13 +89,14 @@ def _places(keys, level: int, blocks, n_shards: int):
 class LogFilter:
     """Shards of the filter, probed together; keys are dealt to shards by their top bits."""
 
-    def __init__(self, shards: dict[int, bytes], n_shards: int):
+    def __init__(self, data, sizes):
+        """data: the shards' bytes in order, or a dict of them with the number of shards as sizes."""
         import numpy as np
 
-        parts = [np.frombuffer(shards.get(i) or b"\0" * 64, np.uint8) for i in range(n_shards)]
-        self.n, self.bits = n_shards, np.concatenate(parts)
-        self.start = np.append(0, np.cumsum([len(p) for p in parts]))[:-1].astype(np.uint64) * np.uint64(8)
-        self.size = np.array([len(p) * 8 for p in parts], np.uint64)
+        data, sizes = _joined(data, sizes) if isinstance(data, dict) else (data, sizes)
+        self.n, self.bits = len(sizes), np.frombuffer(data, np.uint8)
+        self.start = np.append(0, np.cumsum(sizes))[:-1].astype(np.uint64) * np.uint64(8)
+        self.size = np.array(sizes, np.uint64) * np.uint64(8)
 
     def lookup(self, keys):
         """Level of each key; 0 where the first level is missing."""
@@ -119,6 +120,26 @@ class LogFilter:
         return out
 
 
+def _joined(shards: dict, n_shards: int) -> tuple:
+    """(bytes of all shards in order, their sizes); the dict is emptied on the way."""
+    data, sizes = bytearray(), []
+    for i in range(n_shards):
+        part = shards.pop(i, None) or b"\0" * 64
+        data += part
+        sizes.append(len(part))
+    return data, sizes
+
+
+def _narrow(counts) -> bytes:
+    """64-bit counts as 32-bit ones; a word beyond them would need a wider table."""
+    import numpy as np
+
+    wide = np.frombuffer(counts, np.uint64)
+    if wide.max() >= 1 << 32:
+        raise OverflowError("a word is counted more than 2^32 times")
+    return wide.astype(np.uint32).tobytes()
+
+
 def shard_of(keys, n_shards: int):
     import numpy as np
 
@@ -204,15 +225,20 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     size = model.agg(F.coalesce(F.sum(F.octet_length("keys") + F.octet_length("counts") + F.octet_length("bits")), F.lit(0)).alias("b")).first()["b"]
     if size > BROADCAST_BYTES:
         raise ValueError(f"the filter takes {size} bytes; BROADCAST_BYTES allows {BROADCAST_BYTES}")
-    # one copy on the driver: shard by shard, joined only by the workers
+    # one copy on the driver, joined shard by shard, so that workers read it in place
     words, bits, total, distinct, once = {}, {True: {}, False: {}}, 0, 0, 0
     for r in model.toLocalIterator():
         bits[r["pair"]][r["shard"]] = r["bits"]
         if not r["pair"]:
             words[r["shard"]] = (r["keys"], r["counts"])
             total, distinct, once = total + r["tokens"], distinct + r["grams"], once + r["once"]
-    payload = (words, bits[False], bits[True], total, distinct, once)
-    del words, bits
+    keys, counts = bytearray(), bytearray()
+    for s in sorted(words):
+        k, c = words.pop(s)
+        keys += k
+        counts += c if 2 * len(c) == len(k) else _narrow(c)
+    payload = (keys, counts, _joined(bits[False], n_shards), _joined(bits[True], n_shards), total, distinct, once)
+    del keys, counts, words, bits
     shared = spark.sparkContext.broadcast(payload)
     del payload
     source = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
@@ -242,11 +268,9 @@ class _Model:
     def __init__(self, payload, n_shards):
         import numpy as np
 
-        words, one, two, self.total, self.distinct, self.once = payload
-        order = sorted(words)
-        self.keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(words[s][0], np.uint64) for s in order]])
-        self.counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(c, np.uint32 if 2 * len(c) == len(k) else np.uint64) for k, c in map(words.get, order)]])
-        self.one, self.two = LogFilter(one, n_shards), LogFilter(two, n_shards)
+        keys, counts, one, two, self.total, self.distinct, self.once = payload
+        self.keys, self.counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)
+        self.one, self.two = LogFilter(*one), LogFilter(*two)
         self.values = level_counts()
 
     def score(self, data, at, n_docs):
