@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textmill.session import table
 
-__all__ = ["components", "let", "materialise", "shared_dir", "table"]
+__all__ = ["components", "drop", "let", "materialise", "renew", "shared_dir", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +32,25 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def renew(old: DataFrame | None, df: DataFrame) -> DataFrame:
+    """df materialised; the table `old` that it replaces, which nothing may read any more, is deleted."""
+    out = materialise(df)
+    if old is not None:
+        drop(old)
+    return out
+
+
+def drop(written: DataFrame) -> None:
+    """Delete the files of a materialised table."""
+    jvm = written.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(written.written_to)
+    path.getFileSystem(written.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -63,6 +80,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # stable when every node points straight at a root: no destination is itself a source
         moving = after.join(after.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").limit(1).count()
         doubled = after.groupBy("src").count().where("count > 1").limit(1).count()
+        drop(current)
         current = after
         if not moving and not doubled:
             break

@@ -5,9 +5,10 @@ document times 1 + IDF_SHARE * idf, with idf between 0 (in every document) and 1
 thousands of copies share next to nothing and so make copies of a large group unlike each other.
 
 Only sample bands are shuffled for all documents. In a bucket of equal bands every member is compared with one
-leader, not with every other member; members unlike the leader go on among themselves, and where the triangle
-inequality of Jaccard distance allows a link to a member that the leader took, they are compared with such members
-as well, a few at first and more in each round, until they link or have met them all.
+leader (four and sixteen in later rounds, and so on), not with every other member; members unlike all leaders go on
+among themselves. Where the triangle inequality of Jaccard distance allows a link to a member that a leader took, and
+components of the links found so far leave the two apart, they are compared with such members as well, a few at first
+and more in each round, until they link or have met them all.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, materialise, table
+from textmill.llm.common import components, drop, materialise, renew, table
 
 SEED = 20240607
 #: Bands of the signature and samples per band: a pair at similarity 0.8 meets in a band with probability 0.998.
@@ -214,6 +215,21 @@ def _tries(gray: DataFrame, taken: DataFrame, each: int, turn: int, slack: float
     return met.select("x", "leader", "sx", "parts", F.when(fits, F.greatest("x", "y")).alias("a"), F.when(fits, F.least("x", "y")).alias("b"))
 
 
+def _led(active: DataFrame, leaders: int) -> DataFrame:
+    """Members of each bucket of two or more with its size n and its heads: (band, node, n, heads).
+
+    Heads are all members where n is 4 at most, else up to `leaders` of them: members are dealt by hash into as many
+    slots, so that no more than `leaders` nodes are ever gathered, and each slot puts up the one whose buckets are the
+    largest in all: copies that differ from each other still agree with the text in their midst.
+    """
+    slot = F.when(F.col("n") <= 4, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)).cast("string"))
+    sizes = active.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    sized = materialise(active.join(sizes, "band"))
+    central = sized.groupBy("node").agg(F.sum("n").alias("near"))
+    heads = sized.join(central, "node").groupBy("band", slot.alias("slot")).agg(F.max_by("node", F.struct("near", F.xxhash64("node"))).alias("head"))
+    return renew(sized, sized.join(heads.groupBy("band").agg(F.collect_list("head").alias("heads")), "band"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per input row: id, class_id, kept.
 
@@ -238,40 +254,48 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     wanted = active.select("node", "first_id").distinct()
     source = docs.select(F.col(id_col).alias("id"), _node(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     texts = materialise(source.join(wanted.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select("node", "text").dropDuplicates(["node"]))
-    active = active.select("band", "node")
-    done = gray = taken = None
-    limit, tries_each, turn = 4, 4, 0
+    active, done, gray, taken, leaders = renew(active, active.select("band", "node")), None, None, None, 1
+    ends = lambda p, x, y: p.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), *[c for c in p.columns if c not in ("a", "b")])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """done with the pairs that it lacks."""
+        pairs = pairs.select("a", "b").distinct()
+        found = _verify(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), texts, weigher)
+        return renew(done, found if done is None else done.union(found))
+
     while True:
-        led = active.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        led = materialise(active.join(led, "band"))
-        star = led.where((F.col("n") > limit) & (F.col("node") != F.col("leader"))).select("band", F.col("node").alias("a"), F.col("leader").alias("b"))
-        few = led.where(F.col("n") <= limit).select("band", "node")
-        pairs = star.select("a", "b").union(few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").where("a > b").select("a", "b"))
-        tries = None
-        if gray is not None:
-            tries = materialise(_tries(gray, taken, tries_each, turn, 1 - threshold))
-            pairs = pairs.union(tries.where("a is not null").select("a", "b"))
-            tries_each *= 4
-        pairs = pairs.distinct()
-        fresh = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        found = materialise(_verify(fresh, texts, weigher).distinct())
-        done = found if done is None else done.union(found)
-        if tries is not None:
-            met = tries.join(done.where(F.col("similarity") >= threshold), ["a", "b"], "left_semi").select("x", "leader").distinct()
-            gray = tries.where("parts > 1").select("x", "leader", "sx").distinct().join(met, ["x", "leader"], "left_anti")
-        # members unlike their leader go on among themselves; some may be like members that the leader took
-        judged = materialise(star.join(done, ["a", "b"]))
-        rest = judged.where(F.col("similarity") < threshold)
-        new_gray = rest.where(F.col("similarity") >= 2 * threshold - 1).select(F.col("a").alias("x"), F.col("b").alias("leader"), F.col("similarity").alias("sx")).distinct()
-        new_taken = judged.where(F.col("similarity") >= threshold).select(F.col("b").alias("leader"), F.col("a").alias("y"), F.col("similarity").alias("sy")).distinct()
-        gray = materialise(new_gray if gray is None else gray.union(new_gray).distinct())
-        taken = materialise(new_taken if taken is None else taken.union(new_taken).distinct())
-        active = rest.select("band", F.col("a").alias("node"))
-        if gray.isEmpty() and active.isEmpty():
+        led = _led(active, leaders)
+        star = led.where("n > 4").select("band", "node", "heads", F.explode("heads").alias("leader")).where("node <> leader")
+        star = materialise(ends(star.select("band", "node", "leader", F.array_contains("heads", F.col("node")).alias("head")), "node", "leader"))
+        few = led.where("n <= 4").select(F.col("node").alias("a"), F.explode("heads").alias("b")).where("a > b")
+        done = compared(star.select("a", "b").union(few))
+        judged = materialise(star.where("not head").join(done, ["a", "b"]).select("band", "node", "leader", "similarity"))
+        new_gray = judged.where(F.col("similarity").between(2 * threshold - 1, threshold) & (F.col("similarity") < threshold)).select(F.col("node").alias("x"), "leader", F.col("similarity").alias("sx"))
+        new_taken = judged.where(F.col("similarity") >= threshold).select("leader", F.col("node").alias("y"), F.col("similarity").alias("sy"))
+        gray = renew(gray, (new_gray if gray is None else gray.union(new_gray)).distinct())
+        taken = renew(taken, (new_taken if taken is None else taken.union(new_taken)).distinct())
+        # members unlike all leaders go on among themselves
+        active = renew(active, judged.groupBy("band", "node").agg(F.max("similarity").alias("best")).where(F.col("best") < threshold).select("band", "node"))
+        drop(led), drop(star), drop(judged)
+        if active.isEmpty():
             break
-        limit, turn = min(64, limit * 4), turn + 1
-    links = done.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    grouped = components(links)
+        leaders *= 4
+    links = lambda: done.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    grouped = materialise(components(links()))
+    # what is in its leader's component already need not find a link to one of its members
+    of = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    apart = gray.join(of("leader"), "leader").join(of("x"), "x", "left").where(~F.col("x_component").eqNullSafe(F.col("leader_component")))
+    gray, each, turn = renew(gray, apart.select("x", "leader", "sx")), 4, 0
+    met_any = not gray.isEmpty()
+    while not gray.isEmpty():
+        tries = materialise(_tries(gray, taken, each, turn, 1 - threshold))
+        done = compared(tries.where("a is not null"))
+        met = tries.join(done.where(F.col("similarity") >= threshold), ["a", "b"], "left_semi").select("x", "leader").distinct()
+        gray = renew(gray, tries.where("parts > 1").select("x", "leader", "sx").distinct().join(met, ["x", "leader"], "left_anti"))
+        drop(tries)
+        each, turn = each * 4, turn + 1
+    if met_any:
+        grouped = components(links())
     label = nodes.select("node", "first_id").join(grouped, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = label.groupBy("component").agg(F.min("first_id").alias("class_id"))
     return signed.select("id", "node").join(label.select("node", "component"), "node").join(smallest, "component").select("id", "node", "class_id")
