@@ -65,6 +65,29 @@ def test_near_duplicates_and_odd_rows(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_crowd_of_copies_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(60)]
+    texts = ["zero"]
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.integers(0, 60, rng.integers(1, 4)):
+            copy[at] = f"e{rng.integers(0, 6)}"
+        texts.append(" ".join(copy))
+    d = docs(spark, texts)
+    w = minhash.document_frequencies(d, "text")
+    sets = [w.of_text(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(1, len(texts)):
+        for b in range(1, a):
+            if minhash.weighted_jaccard(sets[a], sets[b]) >= 0.8 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(d).collect() if r["doc_id"]}
+    assert 1 < len(set(label[1:])) < 55
+    assert [got[k] for k in range(1, len(texts))] == label[1:]
+
+
 def test_lattice_links_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((20, 16))
