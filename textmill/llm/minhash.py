@@ -5,10 +5,10 @@ document times 1 + IDF_SHARE * idf, with idf between 0 (in every document) and 1
 thousands of copies share next to nothing and so make copies of a large group unlike each other.
 
 Only sample bands are shuffled for all documents. In a bucket of equal bands every member is compared with one
-leader (four and sixteen in later rounds, and so on), not with every other member; members unlike all leaders go on
-among themselves. Where the triangle inequality of Jaccard distance allows a link to a member that a leader took, and
-components of the links found so far leave the two apart, they are compared with such members as well, a few at first
-and more in each round, until they link or have met them all.
+leader, the text that agrees with most others; members unlike it go on among themselves for some rounds more. Pairs
+of a bucket that this leaves in different components are searched by what each member changes in the text of its
+first leader: two members can only be alike if they share enough changes, so a prefix of the changes, rarest first,
+finds every such pair without listing the rest (see _changes).
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ VARIATES = 1 << 16
 #: shingles of a document over the counters, whatever the number of documents.
 COUNTERS, PARTS = 1 << 22, 64
 IDF_SHARE = 0.25
+#: Rounds in which members unlike their leader get another one; the search by changes finds all links after any number.
+STAR_ROUNDS = 3
+#: Bits of the map of a member's changes.
+MAP_BITS = 1024
 
 
 class Weigher:
@@ -198,36 +202,105 @@ def _verify(pairs: DataFrame, texts: DataFrame, weigher) -> DataFrame:
     return rows.mapInArrow(compare, "a string, b string, similarity double")
 
 
-def _tries(gray: DataFrame, taken: DataFrame, each: int, turn: int, slack: float) -> DataFrame:
-    """Pairs to compare next for members x that are nearly like their leader: (x, leader, sx, parts, a, b).
+def _prefixes(mine, leader, sketch, threshold: float):
+    """(near, far, cost, spare, map, folded, heavy) of a member's changes to its leader; see _changes and _may_be_alike."""
+    import numpy as np
 
-    Members that a leader took are one component, so x only has to meet one that it is like. They are dealt by hash
-    into parts of about `each` members, and x meets one part; whoever finds no link meets a part four times as large
-    in the next round, and all members in the end (parts = 1). A pair is left out only where the triangle inequality
-    of Jaccard distance rules out a link.
+    from textmill.llm.tokens import mix
+
+    (u, w), (v, z) = mine, leader
+    both = np.union1d(u, v)
+    change = np.zeros(len(both))
+    change[np.searchsorted(both, u)] += w
+    change[np.searchsorted(both, v)] -= z
+    some = np.abs(change) > 1e-12
+    both, change = both[some], change[some]
+    gone = change < 0
+    order = np.lexsort((both, sketch[(both >> np.uint64(42)).astype(np.int64)], gone))
+    gone, amount = gone[order], np.abs(change[order])
+    key = np.where(gone, mix(both[order] + np.uint64(1)), both[order]).view(np.int64)
+    cost = np.where(gone, 1.0, threshold) * amount
+    # sums of what follows each place; a prefix ends where the rest cannot reach the bound
+    after = lambda x: np.cumsum(x[::-1])[::-1]
+    near = key[after(amount) >= cost.sum() / (1 + threshold) - 1e-9]
+    excess = cost.sum() - (1 - threshold) * z.sum()
+    far = key[after(np.where(gone, threshold, 1.0) * amount) >= excess - 1e-9] if excess > -1e-9 else key
+    bits = np.zeros(MAP_BITS, bool)
+    bits[(mix(key.view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)] = True
+    folded = len(key) - int(bits.sum())
+    heavy = float(np.maximum(amount - (1 + IDF_SHARE), 0).sum())
+    return near, far, float(cost.sum()), float((1 - threshold) * z.sum()), np.packbits(bits).view(np.int64), folded, heavy
+
+
+def _changes(members: DataFrame, texts: DataFrame, weigher, threshold: float) -> DataFrame:
+    """Members (leader, node, taken) with prefixes (near, far) and measures of their changes to the leader.
+
+    For leader L let a member x lack the weights d and add the weights a, and let c(x) = |d| + t |a|. The common weight of
+    x and y is |L| - |d_x| - |d_y| + S, with S the weight of the changes that they share, so x and y are alike if and
+    only if (1 + t) S >= c(x) + c(y) - (1 - t) |L|; x is like L (taken) if and only if c(x) <= (1 - t) |L|. Hence
+    * near: whoever is alike to an untaken member shares more than c(x) / (1 + t) of its changes with it;
+    * far: an untaken member shares changes with t |d| + |a| >= c(x) - (1 - t) |L| with whatever it is alike to.
+    In one order of all changes, added ones first and rare ones first, the prefixes that leave less than this bound
+    must meet. Most changes of near copies are their own, so they do not meet by chance.
     """
-    parts = taken.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / each), F.lit(1)).cast("int").alias("parts"))
-    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.col("parts"))
-    asking = gray.join(parts, "leader").select("x", "leader", "sx", "parts", slot("x").alias("slot"))
-    asked = taken.join(parts, "leader").select("leader", "y", "sy", slot("y").alias("slot"))
-    met = asking.join(asked, ["leader", "slot"], "left")
-    fits = (F.col("sy") <= F.col("sx") + slack) & (F.col("x") != F.col("y"))
-    return met.select("x", "leader", "sx", "parts", F.when(fits, F.greatest("x", "y")).alias("a"), F.when(fits, F.least("x", "y")).alias("b"))
+    left = members.join(texts.select("node", F.col("text").alias("mine")), "node")
+    rows = left.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("theirs")), "leader").select("leader", "node", "taken", "mine", "theirs")
+    names = ["leader", "node", "taken", "near", "far", "cost", "spare", "map", "folded", "heavy"]
+    longs = pa.list_(pa.int64())
+    types = [pa.float64(), pa.float64(), longs, pa.int64(), pa.float64()]
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, held = Weigher(*weigher.value), {}
+        for batch in batches:
+            near, far, rest = [], [], []
+            for row in zip(*(batch.column(c) for c in ("leader", "taken", "mine", "theirs"))):
+                leader = row[0].as_py()
+                if leader not in held:
+                    if len(held) >= 8:
+                        held.clear()
+                    held[leader] = w.of_text(row[3].as_py())
+                one, two, *measures = _prefixes(w.of_text(row[2].as_py()), held[leader], w.sketch, threshold)
+                near.append(one)
+                far.append([] if row[1].as_py() else two)
+                rest.append(measures)
+            measured = [pa.array([r[i] for r in rest], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], pa.array(near, longs), pa.array(far, longs), *measured], names=names)
+
+    return rows.mapInArrow(change, "leader string, node string, taken boolean, near array<bigint>, far array<bigint>, cost double, spare double, map array<bigint>, folded bigint, heavy double")
+
+
+def _may_be_alike(x: str, y: str, threshold: float):
+    """Whether the changes of x and y leave room for a similarity of threshold: a bound on S that never falls short.
+
+    Each change sets one bit of a map; what two members share sets bits in both, but for changes that fold onto a bit.
+    A change weighs 1 + IDF_SHARE at most; what repeated shingles weigh beyond that is added as heavy.
+    """
+    common = sum((F.bit_count(F.col(f"{x}.map")[i].bitwiseAND(F.col(f"{y}.map")[i])) for i in range(MAP_BITS // 64)), F.least(f"{x}.folded", f"{y}.folded"))
+    shared = common * (1 + IDF_SHARE) + F.least(f"{x}.heavy", f"{y}.heavy")
+    return shared * (1 + threshold) >= F.col(f"{x}.cost") + F.col(f"{y}.cost") - F.col(f"{x}.spare") - 1e-6
+
+
+def _meeting(changes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components whose changes to the same leader meet and may suffice."""
+    measures = ("cost", "spare", "map", "folded", "heavy")
+    asking = changes.where("not taken").select("leader", "node", "component", "near", "far", *measures, F.explode(F.array_union("near", "far")).alias("change"))
+    asking = asking.withColumns({"near": F.array_contains("near", F.col("change")), "far": F.array_contains("far", F.col("change"))}).alias("x")
+    asked = changes.select("leader", "node", "component", "taken", *measures, F.explode("near").alias("change")).alias("y")
+    meets = "x.leader = y.leader and x.change = y.change and x.component <> y.component and case when y.taken then x.far else x.near and x.node > y.node end"
+    met = asking.join(asked, F.expr(meets) & _may_be_alike("x", "y", threshold))
+    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
-def _led(active: DataFrame, leaders: int) -> DataFrame:
-    """Members of each bucket of two or more with its size n and its heads: (band, node, n, heads).
+def _led(active: DataFrame) -> DataFrame:
+    """Members of each bucket of two or more with its leader: the one whose buckets are the largest in all.
 
-    Heads are all members where n is 4 at most, else up to `leaders` of them: members are dealt by hash into as many
-    slots, so that no more than `leaders` nodes are ever gathered, and each slot puts up the one whose buckets are the
-    largest in all: copies that differ from each other still agree with the text in their midst.
+    Copies that differ from each other still agree with the text in their midst.
     """
-    slot = F.when(F.col("n") <= 4, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)).cast("string"))
     sizes = active.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     sized = materialise(active.join(sizes, "band"))
     central = sized.groupBy("node").agg(F.sum("n").alias("near"))
-    heads = sized.join(central, "node").groupBy("band", slot.alias("slot")).agg(F.max_by("node", F.struct("near", F.xxhash64("node"))).alias("head"))
-    return renew(sized, sized.join(heads.groupBy("band").agg(F.collect_list("head").alias("heads")), "band"))
+    heads = sized.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("near", F.xxhash64("node"))).alias("leader"))
+    return renew(sized, sized.join(heads, "band").where("node <> leader").select("band", "node", "leader"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -254,48 +327,38 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     wanted = active.select("node", "first_id").distinct()
     source = docs.select(F.col(id_col).alias("id"), _node(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     texts = materialise(source.join(wanted.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select("node", "text").dropDuplicates(["node"]))
-    active, done, gray, taken, leaders = renew(active, active.select("band", "node")), None, None, None, 1
-    ends = lambda p, x, y: p.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), *[c for c in p.columns if c not in ("a", "b")])
+    active, done, judged = renew(active, active.select("band", "node")), None, None
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """done with the pairs that it lacks."""
-        pairs = pairs.select("a", "b").distinct()
+        """done with the pairs (a, b), a > b, that it lacks."""
         found = _verify(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), texts, weigher)
         return renew(done, found if done is None else done.union(found))
 
-    while True:
-        led = _led(active, leaders)
-        star = led.where("n > 4").select("band", "node", "heads", F.explode("heads").alias("leader")).where("node <> leader")
-        star = materialise(ends(star.select("band", "node", "leader", F.array_contains("heads", F.col("node")).alias("head")), "node", "leader"))
-        few = led.where("n <= 4").select(F.col("node").alias("a"), F.explode("heads").alias("b")).where("a > b")
-        done = compared(star.select("a", "b").union(few))
-        judged = materialise(star.where("not head").join(done, ["a", "b"]).select("band", "node", "leader", "similarity"))
-        new_gray = judged.where(F.col("similarity").between(2 * threshold - 1, threshold) & (F.col("similarity") < threshold)).select(F.col("node").alias("x"), "leader", F.col("similarity").alias("sx"))
-        new_taken = judged.where(F.col("similarity") >= threshold).select("leader", F.col("node").alias("y"), F.col("similarity").alias("sy"))
-        gray = renew(gray, (new_gray if gray is None else gray.union(new_gray)).distinct())
-        taken = renew(taken, (new_taken if taken is None else taken.union(new_taken)).distinct())
-        # members unlike all leaders go on among themselves
-        active = renew(active, judged.groupBy("band", "node").agg(F.max("similarity").alias("best")).where(F.col("best") < threshold).select("band", "node"))
-        drop(led), drop(star), drop(judged)
+    for _ in range(STAR_ROUNDS):
+        led = _led(active).withColumns({"a": F.greatest("node", "leader"), "b": F.least("node", "leader")})
+        done = compared(led.select("a", "b").distinct())
+        star = materialise(led.join(done, ["a", "b"]).select("band", "node", "leader", "similarity"))
+        if judged is None:
+            judged = materialise(star.select("node", "leader", "similarity").distinct())
+        # members unlike their leader go on among themselves
+        active = renew(active, star.where(F.col("similarity") < threshold).select("band", "node"))
+        drop(star)
         if active.isEmpty():
             break
-        leaders *= 4
     links = lambda: done.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     grouped = materialise(components(links()))
-    # what is in its leader's component already need not find a link to one of its members
     of = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    apart = gray.join(of("leader"), "leader").join(of("x"), "x", "left").where(~F.col("x_component").eqNullSafe(F.col("leader_component")))
-    gray, each, turn = renew(gray, apart.select("x", "leader", "sx")), 4, 0
-    met_any = not gray.isEmpty()
-    while not gray.isEmpty():
-        tries = materialise(_tries(gray, taken, each, turn, 1 - threshold))
-        done = compared(tries.where("a is not null"))
-        met = tries.join(done.where(F.col("similarity") >= threshold), ["a", "b"], "left_semi").select("x", "leader").distinct()
-        gray = renew(gray, tries.where("parts > 1").select("x", "leader", "sx").distinct().join(met, ["x", "leader"], "left_anti"))
-        drop(tries)
-        each, turn = each * 4, turn + 1
-    if met_any:
+    named = judged.join(of("node"), "node", "left").join(of("leader"), "leader", "left")
+    members = named.select("leader", "node", "similarity", (F.col("similarity") >= threshold).alias("taken"), F.coalesce("node_component", "node").alias("component"), F.coalesce("leader_component", "leader").alias("home"))
+    # a leader's members need no search where all are in its component; taken ones none where no other comes near
+    apart = members.where("component <> home").groupBy("leader").agg(F.max("similarity").alias("nearest"))
+    members = materialise(members.join(apart, "leader").where(~F.col("taken") | (F.col("nearest") >= 2 * threshold - 1 - 1e-9)).select("leader", "node", "taken", "component"))
+    if not members.isEmpty():
+        changes = materialise(_changes(members.select("leader", "node", "taken"), texts, weigher, threshold).join(members.select("leader", "node", "component"), ["leader", "node"]))
+        done = compared(_meeting(changes, threshold))
+        drop(changes)
         grouped = components(links())
+    drop(members), drop(judged), drop(active)
     label = nodes.select("node", "first_id").join(grouped, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = label.groupBy("component").agg(F.min("first_id").alias("class_id"))
     return signed.select("id", "node").join(label.select("node", "component"), "node").join(smallest, "component").select("id", "node", "class_id")
