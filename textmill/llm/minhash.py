@@ -281,13 +281,16 @@ def _may_be_alike(x: str, y: str, threshold: float):
 
 
 def _meeting(changes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different components whose changes to the same leader meet and may suffice."""
-    measures = ("cost", "spare", "map", "folded", "heavy")
-    asking = changes.where("not taken").select("leader", "node", "component", "near", "far", *measures, F.explode(F.array_union("near", "far")).alias("change"))
-    asking = asking.withColumns({"near": F.array_contains("near", F.col("change")), "far": F.array_contains("far", F.col("change"))}).alias("x")
-    asked = changes.select("leader", "node", "component", "taken", *measures, F.explode("near").alias("change")).alias("y")
-    meets = "x.leader = y.leader and x.change = y.change and x.component <> y.component and case when y.taken then x.far else x.near and x.node > y.node end"
-    met = asking.join(asked, F.expr(meets) & _may_be_alike("x", "y", threshold))
+    """Pairs (a, b) of nodes of different components whose changes to the same leader meet and may suffice.
+
+    Of the changes in which two prefixes meet only the smallest makes a row, so a pair appears once for each leader.
+    """
+    columns = ("leader", "node", "component", "taken", "cost", "spare", "map", "folded", "heavy", "near")
+    asking = changes.where("not taken").select(*columns, "far", F.explode(F.array_union("near", "far")).alias("change")).alias("x")
+    asked = changes.select(*columns, F.explode("near").alias("change")).alias("y")
+    meets = F.expr("x.leader = y.leader and x.change = y.change and x.component <> y.component and (y.taken or x.node > y.node)")
+    once = F.expr("x.change = array_min(array_intersect(case when y.taken then x.far else x.near end, y.near))")
+    met = asking.join(asked, meets & _may_be_alike("x", "y", threshold) & once)
     return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
