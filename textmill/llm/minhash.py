@@ -203,7 +203,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, weigher) -> DataFrame:
 
 
 def _prefixes(mine, leader, sketch, threshold: float):
-    """(near, far, cost, spare, map, folded, heavy) of a member's changes to its leader; see _changes and _may_be_alike."""
+    """(change, rest, near, far, cost, spare, map, folded, heavy) of a member's changes to its leader; see _changes and _may_be_alike."""
     import numpy as np
 
     from textmill.llm.tokens import mix
@@ -222,18 +222,20 @@ def _prefixes(mine, leader, sketch, threshold: float):
     cost = np.where(gone, 1.0, threshold) * amount
     # sums of what follows each place; a prefix ends where the rest cannot reach the bound
     after = lambda x: np.cumsum(x[::-1])[::-1]
-    near = key[after(amount) >= cost.sum() / (1 + threshold) - 1e-9]
+    rest = after(amount)
+    near = int((rest >= cost.sum() / (1 + threshold) - 1e-9).sum())
     excess = cost.sum() - (1 - threshold) * z.sum()
-    far = key[after(np.where(gone, threshold, 1.0) * amount) >= excess - 1e-9] if excess > -1e-9 else key
+    far = int((after(np.where(gone, threshold, 1.0) * amount) >= excess - 1e-9).sum()) if excess > -1e-9 else 0
+    most = max(near, far)
     bits = np.zeros(MAP_BITS, bool)
     bits[(mix(key.view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)] = True
     folded = len(key) - int(bits.sum())
     heavy = float(np.maximum(amount - (1 + IDF_SHARE), 0).sum())
-    return near, far, float(cost.sum()), float((1 - threshold) * z.sum()), np.packbits(bits).view(np.int64), folded, heavy
+    return key[:most], rest[:most], near, far, float(cost.sum()), float((1 - threshold) * z.sum()), np.packbits(bits).view(np.int64), folded, heavy
 
 
 def _changes(members: DataFrame, texts: DataFrame, weigher, threshold: float) -> DataFrame:
-    """Members (leader, node, taken) with prefixes (near, far) and measures of their changes to the leader.
+    """Members (leader, node, taken) with a prefix of their changes to the leader (near and far: lengths) and measures.
 
     For leader L let a member x lack the weights d and add the weights a, and let c(x) = |d| + t |a|. The common weight of
     x and y is |L| - |d_x| - |d_y| + S, with S the weight of the changes that they share, so x and y are alike if and
@@ -245,52 +247,48 @@ def _changes(members: DataFrame, texts: DataFrame, weigher, threshold: float) ->
     """
     left = members.join(texts.select("node", F.col("text").alias("mine")), "node")
     rows = left.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("theirs")), "leader").select("leader", "node", "taken", "mine", "theirs")
-    names = ["leader", "node", "taken", "near", "far", "cost", "spare", "map", "folded", "heavy"]
+    names = ["leader", "node", "taken", "change", "rest", "near", "far", "cost", "spare", "map", "folded", "heavy"]
     longs = pa.list_(pa.int64())
-    types = [pa.float64(), pa.float64(), longs, pa.int64(), pa.float64()]
+    types = [longs, pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.float64(), pa.float64(), longs, pa.int64(), pa.float64()]
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, held = Weigher(*weigher.value), {}
         for batch in batches:
-            near, far, rest = [], [], []
+            found = []
             for row in zip(*(batch.column(c) for c in ("leader", "taken", "mine", "theirs"))):
                 leader = row[0].as_py()
                 if leader not in held:
                     if len(held) >= 8:
                         held.clear()
                     held[leader] = w.of_text(row[3].as_py())
-                one, two, *measures = _prefixes(w.of_text(row[2].as_py()), held[leader], w.sketch, threshold)
-                near.append(one)
-                far.append([] if row[1].as_py() else two)
-                rest.append(measures)
-            measured = [pa.array([r[i] for r in rest], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], pa.array(near, longs), pa.array(far, longs), *measured], names=names)
+                found.append(_prefixes(w.of_text(row[2].as_py()), held[leader], w.sketch, threshold))
+            measured = [pa.array([f[i] for f in found], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], *measured], names=names)
 
-    return rows.mapInArrow(change, "leader string, node string, taken boolean, near array<bigint>, far array<bigint>, cost double, spare double, map array<bigint>, folded bigint, heavy double")
+    return rows.mapInArrow(change, "leader string, node string, taken boolean, change array<bigint>, rest array<double>, near bigint, far bigint, cost double, spare double, map array<bigint>, folded bigint, heavy double")
 
 
 def _may_be_alike(x: str, y: str, threshold: float):
     """Whether the changes of x and y leave room for a similarity of threshold: a bound on S that never falls short.
 
     Each change sets one bit of a map; what two members share sets bits in both, but for changes that fold onto a bit.
-    A change weighs 1 + IDF_SHARE at most; what repeated shingles weigh beyond that is added as heavy.
+    A change weighs 1 + IDF_SHARE at most; what repeated shingles weigh beyond that is added as heavy. From the first
+    change that they share on, both have at least S left (rest).
     """
     common = sum((F.bit_count(F.col(f"{x}.map")[i].bitwiseAND(F.col(f"{y}.map")[i])) for i in range(MAP_BITS // 64)), F.least(f"{x}.folded", f"{y}.folded"))
     shared = common * (1 + IDF_SHARE) + F.least(f"{x}.heavy", f"{y}.heavy")
-    return shared * (1 + threshold) >= F.col(f"{x}.cost") + F.col(f"{y}.cost") - F.col(f"{x}.spare") - 1e-6
+    return F.least(shared, f"{x}.rest", f"{y}.rest") * (1 + threshold) >= F.col(f"{x}.cost") + F.col(f"{y}.cost") - F.col(f"{x}.spare") - 1e-6
 
 
 def _meeting(changes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different components whose changes to the same leader meet and may suffice.
-
-    Of the changes in which two prefixes meet only the smallest makes a row, so a pair appears once for each leader.
-    """
-    columns = ("leader", "node", "component", "taken", "cost", "spare", "map", "folded", "heavy", "near")
-    asking = changes.where("not taken").select(*columns, "far", F.explode(F.array_union("near", "far")).alias("change")).alias("x")
-    asked = changes.select(*columns, F.explode("near").alias("change")).alias("y")
-    meets = F.expr("x.leader = y.leader and x.change = y.change and x.component <> y.component and (y.taken or x.node > y.node)")
-    once = F.expr("x.change = array_min(array_intersect(case when y.taken then x.far else x.near end, y.near))")
-    met = asking.join(asked, meets & _may_be_alike("x", "y", threshold) & once)
+    """Pairs (a, b) of nodes of different components whose changes to the same leader meet and may suffice."""
+    columns = ("leader", "node", "component", "taken", "near", "far", "cost", "spare", "map", "folded", "heavy")
+    listed = changes.select(*columns, F.posexplode(F.arrays_zip("change", "rest")).alias("at", "one"))
+    listed = listed.select(*columns, "at", "one.change", "one.rest")
+    asking = listed.where("not taken").withColumns({"near": F.expr("at < near"), "far": F.expr("at < far")}).alias("x")
+    asked = listed.where("at < near").alias("y")
+    meets = "x.leader = y.leader and x.change = y.change and x.component <> y.component and case when y.taken then x.far else x.near and x.node > y.node end"
+    met = asking.join(asked, F.expr(meets) & _may_be_alike("x", "y", threshold))
     return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
