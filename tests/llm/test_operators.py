@@ -148,5 +148,14 @@ def test_quality_table_is_a_distribution(spark):
     assert np.abs(total - 1).max() < 0.02
 
 
+def test_quality_rejects_junk_and_keeps_held_out_trusted_rows(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    # every second trusted row is held out of the model and of the thresholds
+    given = labels.where("quality = 0 or doc_id % 2 = 0")
+    rows = quality.classify(d, given).join(labels, "doc_id").where("quality = 0 or doc_id % 2 = 1").select("quality", "kept").collect()
+    shares = {q: np.mean([r["kept"] for r in rows if r["quality"] == q]) for q in (0, 1)}
+    assert shares[0] < 0.12 and shares[1] > 0.9
+
+
 def test_ids_digest_format():
     assert hashlib.sha256(b"\x01\0\0\0\x02\0\0\0").hexdigest() == hashlib.sha256(sentencepiece_codec._packed([1, 2])).hexdigest()
