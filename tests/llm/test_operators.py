@@ -39,6 +39,16 @@ def test_license_digest_ignores_case_and_spelling(spark):
     assert rows[2]["notices"] == "MIT-notice" and rows[3]["digest"] is None
 
 
+def test_whole_licence_texts_are_known(spark):
+    ids = ["Apache-2.0", "Artistic-1.0-Perl", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib"]
+    texts = ["Copyright 2020 Someone\n\n" + KNOWN[k].replace("\n", "\r\n").upper() for k in ids]
+    terms = KNOWN["Apache-2.0"].split("APPENDIX")[0]
+    rows = license_scan.scan(docs(spark, [*texts, terms, KNOWN["GPL-3.0"].replace("freedom", "", 1)])).collect()
+    assert [r["license_id"] for r in rows] == [*ids, "Apache-2.0-terms", None]
+    digests = [r["digest"] for r in license_scan.known_digests(spark).collect()]
+    assert len(digests) == len(set(digests)) == len(KNOWN)
+
+
 def test_pii_base_spans_equal_plain_matching(spark):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import table
+from textmill.llm.common import let, table
 from textmill.llm.license_texts import EQUIVALENT, KNOWN
 
 #: Known licences are a fixed table; beyond this many the join is left to the optimiser instead of broadcast.
@@ -26,8 +26,7 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """sha256 of the canonical form, null where nothing is left of the text."""
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+    return let(canonical(text), lambda c: F.when(c != "", F.sha2(c, 256)))
 
 
 def known_digests(spark, known: dict[str, str] = KNOWN) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Spellings that count as equal, and known licence texts and one-line notices (public texts)."""
+"""Spellings that count as equal, and known licence texts and one-line notices (public texts).
+
+Texts of some length are files of the folder licenses, named by licence id; only the driver reads them.
+"""
+
+from pathlib import Path
 
 #: A spelling (as words) and the one it is replaced by.
 EQUIVALENT = {
@@ -84,3 +89,8 @@ PERFORMANCE OF THIS SOFTWARE.""",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0-notice": "This work is dedicated to the public domain.",
 }
+
+_FILES = {f.stem: f.read_text(encoding="utf-8") for f in sorted(Path(__file__).with_name("licenses").glob("*.txt"))}
+#: The line after which a licence tells how to apply it; the terms alone are known as well.
+_END = "END OF TERMS AND CONDITIONS"
+KNOWN |= _FILES | {f"{k}-terms": v[: v.index(_END) + len(_END)] for k, v in _FILES.items() if _END in v}
