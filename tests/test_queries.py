@@ -46,3 +46,16 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     q.awaitTermination(60)
     flat = lambda df: sorted((str(r["window"]), r["event_type"], r["n"]) for r in df.collect())
     assert flat(spark.table("counted")) == flat(windowed_counts(events))
+
+
+def test_windows_cover_every_word_of_long_texts(spark, tmp_path):
+    lengths = [0, 1, 255, 256, 257, 510, 511, 19_913, 65_281, 70_000]
+    spark.createDataFrame([(k, "w " * n) for k, n in enumerate(lengths)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.QUERIES["consecutive_windows"](spark, str(tmp_path)).collect()
+    for k, n in enumerate(lengths):
+        want, start = [], 0
+        while start < n:
+            want.append(start)
+            start += 255
+        starts = sorted(r["start"] for r in rows if r["doc_id"] == k)
+        assert starts == want and {i for s in starts for i in range(s, min(s + 256, n))} == set(range(n))

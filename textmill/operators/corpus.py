@@ -136,7 +136,7 @@ def faithful_units_by_lang(d):
 
 
 def consecutive_windows(d):
-    return f"select doc_id, start from (select doc_id, n, i * 255 as start from (select doc_id, n, {d.series('0', d.div('n - 1', 256))} as i from (select doc_id, cast({d.size(words(d, 'text'))} as bigint) as n from documents) a where n > 0) c) b where start < n"
+    return f"select doc_id, start from (select doc_id, n, i * 255 as start from (select doc_id, n, {d.series('0', d.div('n - 1', 255))} as i from (select doc_id, cast({d.size(words(d, 'text'))} as bigint) as n from documents) a where n > 0) c) b where start < n"
 
 
 QUERIES = {f.__name__: f for f in (exact_dedup, prefix_slice, quality_gate, missing_scores, label_histogram, benchmark_fingerprints, contaminated_docs, naive_gram_pairs, firewall_leaks, corpus_hash, conversation_loss_mask, role_transition_anomalies, grouped_turns, first_user_message, degenerate_loops, shard_offsets, concat_packing_segments, largest_remainder_slots, mixture_shares, ledger_verify, event_spikes, regression, grouping_loss, vector_topk, attention_cost_table, lr_schedule, faithful_units_by_lang, consecutive_windows)}
