@@ -64,6 +64,16 @@ def test_pii_base_spans_equal_plain_matching(spark):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in r["spans"] if s.kind not in pii.ADDED] == want
 
 
+def test_pii_long_runs_are_candidates(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "aB3dE5fG7h" * 30 + ".x9Yz"
+    texts = ["x", f"bearer {jwt} end", f"token={jwt}", "a1b2c3d4e5" * 5000, "9" * 5000, "y" * 20000]
+    d = docs(spark, texts)
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = {r["doc_id"] or 0: [(s.kind, s.start, s.end) for s in r["spans"]] for r in pii.find(d, model=model).collect()}
+    assert got == {0: [], 1: [("id", 7, 7 + len(jwt))], 2: [("key", 0, 6 + len(jwt))], 3: [("id", 0, 50000)], 4: [], 5: []}
+    assert all(jwt not in r["text"] for r in pii.mask(d, model=model).collect())
+
+
 def test_near_duplicates_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     long = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 300)) for _ in range(4)]

@@ -101,9 +101,9 @@ def base_spans(text: Column) -> Column:
 
 
 def token_spans(text: Column) -> Column:
-    """Candidate tokens of six characters or more, without opening and closing marks."""
+    """Candidate tokens of six characters or more, however long, without opening and closing marks."""
     none = F.array().cast(_EMPTY)
-    found = _spans(text, TOKEN, "id", lambda s: F.length(s).between(6, 200), strip=r"^[(\[\"'<{]+|[.,;:!?)\]\"'>}]+$")
+    found = _spans(text, TOKEN, "id", lambda s: F.length(s) >= 6, strip=r"^[(\[\"'<{]+|[.,;:!?)\]\"'>}]+$")
     return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
