@@ -74,6 +74,16 @@ def test_pii_long_runs_are_candidates(spark):
     assert all(jwt not in r["text"] for r in pii.mask(d, model=model).collect())
 
 
+def test_pii_social_security_numbers_names_and_secrets(spark):
+    texts = ["x", "my ssn: 123-45-6789 ok", "see 123-45-6789 there", "(123-45-6789).", "On 2020-01-02 it was 12:30 and 1,234.50 or 123-456", "Ask John Q. Smith or Marie-Claire Dupont, today", "Mark the place. Paul said", "password=hunter2 then", "token 42 and key 17"]
+    want = {0: [], 1: [("id", "123-45-6789")], 2: [("id", "123-45-6789")], 3: [("id", "123-45-6789")], 4: [], 5: [("id", "John Q. Smith"), ("id", "Marie-Claire Dupont")], 6: [], 7: [("key", "password=hunter2")], 8: []}
+    tables = [docs(spark, texts), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")]
+    for model in map(pii.fit, tables):
+        rows = pii.find(tables[0], model=model).collect()
+        assert {r["doc_id"] or 0: [(s.kind, texts[r["doc_id"] or 0][s.start : s.end]) for s in r["spans"]] for r in rows} == want
+    assert "123-45-6789" not in "".join(r["text"] for r in pii.mask(tables[0], model=model).collect())
+
+
 def test_near_duplicates_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     long = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 300)) for _ in range(4)]

@@ -31,6 +31,18 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SECRET_NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 KEY_SHAPES = r"^(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|hf_[A-Za-z0-9]{20,})"
 CONTEXT = r"(?i)(?:call|phone|tel|mobile|fax|mail|contact|card|visa|account|iban|address|login|user|password|secret|key|ssn|passport)\W{0,3}$"
+GIVEN_NAMES = (
+    "Aisha|Alejandro|Alice|Amelie|Amit|Amy|Andrea|Andreas|Andrew|Angela|Anil|Anita|Anna|Anne|Anthony|Antoine|Antonio|Arjun|Barbara|Benjamin|Brian|"
+    "Carlos|Carmen|Catherine|Charles|Charlotte|Christian|Christine|Christopher|Claire|Claudia|Daniel|David|Deepak|Diego|Donna|Edward|Elena|Elizabeth|"
+    "Emily|Emma|Eric|Fatima|Fernando|Francisco|Frank|Gabriel|George|Hannah|Hans|Helen|Henry|Isabella|Jack|Jacques|James|Jan|Javier|Jean|Jennifer|"
+    "Jessica|Johann|Johannes|John|Jonathan|Jorge|Joseph|Juan|Juergen|Julia|Julien|Karen|Karl|Katharina|Kavita|Kenneth|Kevin|Klaus|Laura|Lars|Laurent|"
+    "Linda|Lisa|Louis|Lucas|Lucia|Luis|Manuel|Marc|Margaret|Maria|Marie|Mark|Martin|Mary|Matthew|Matthias|Michael|Michel|Michelle|Miguel|Mohammed|Nancy|"
+    "Nicolas|Nicole|Oliver|Olivia|Pablo|Patricia|Patrick|Paul|Pedro|Peter|Philipp|Philippe|Pierre|Priya|Rafael|Rahul|Rajesh|Rebecca|Richard|Robert|"
+    "Ronald|Ryan|Sabine|Samuel|Sandra|Sanjay|Sarah|Sebastian|Sergio|Sophia|Sophie|Stefan|Stephanie|Stephen|Steven|Sunita|Susan|Susanne|Sven|Thomas|"
+    "Timothy|Ursula|Valentina|Vijay|Vincent|William|Wolfgang|Yves"
+)
+#: Candidate names: an entry of the gazetteer, initials or further entries, and a capitalised word.
+NAME = r"(?<![\p{L}\p{N}_@.-])(?:" + GIVEN_NAMES + r")(?:[ -](?:" + GIVEN_NAMES + r"|\p{Lu}\.))*+ \p{Lu}[\p{L}'-]+(?![\p{N}_@])"
 TOP_DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
 
 #: Votes and shape features of a candidate, by bit. A labeler votes for (+) or against (-) personal data or abstains.
@@ -107,24 +119,32 @@ def token_spans(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
+def name_spans(text: Column) -> Column:
+    """Candidate names: an entry of the gazetteer followed by a capitalised word."""
+    return F.when(text.rlike(NAME), _spans(text, NAME, "name", lambda s: F.lit(True))).otherwise(F.array().cast(_EMPTY))
+
+
 def _bits(span: Column, kind: Column, before: Column) -> Column:
     """Votes and features of a candidate as an integer, first vote in the lowest bit."""
     value = F.regexp_replace(span, r"^[A-Za-z_-]+[=:]", "")
+    key, secret, ssn = value.rlike(KEY_SHAPES), span.rlike("^" + SECRET_NAMES + "[=:]."), span.rlike(r"^(?:[A-Za-z]+[=:])?[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+    # votes against abstain where a pattern of personal data or secrets matches the whole token
+    open_ = (kind == "id") & ~(key | secret | ssn)
     flags = [
         kind == "email", kind == "ip", kind == "card", kind == "phone",
-        value.rlike(KEY_SHAPES), span.rlike("^" + SECRET_NAMES + "[=:]."), before.rlike(CONTEXT),
-        (kind == "email") & span.rlike(TOP_DOMAINS), span.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
-        (kind == "id") & span.rlike(r"^[-+#$€£%]?[0-9][0-9.,:/%-]*$"), (kind == "id") & ~value.rlike(r"^(?=.*[0-9].*[0-9].*[0-9])(?=.*[A-Za-z]).{8,}$"),
+        key, secret, before.rlike(CONTEXT),
+        (kind == "email") & span.rlike(TOP_DOMAINS) | (kind == "name"), ssn,
+        open_ & span.rlike(r"^[-+#$€£%]?[0-9][0-9.,:/%-]*$"), open_ & ~value.rlike(r"^(?=.*[0-9].*[0-9].*[0-9])(?=.*[A-Za-z]).{8,}$"),
         F.length(value) >= 16, value.rlike("[0-9]") & value.rlike("[A-Za-z]"), span.rlike("^[A-Za-z_-]+[=:]."),
     ]
     return sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(flags)), F.lit(0))
 
 
 def candidates(text: Column) -> Column:
-    """Base spans, then tokens that overlap none of them, as structs (kind, start, end, bits)."""
+    """Base spans, then tokens and names that overlap none of them, as structs (kind, start, end, bits)."""
 
     def voted(base: Column) -> Column:
-        free = F.filter(token_spans(text), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+        free = F.filter(F.concat(token_spans(text), name_spans(text)), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
         before = lambda s: F.substring(text, F.greatest(s["start"] - 24, F.lit(0)) + 1, F.least(s["start"], F.lit(24)))
         return F.transform(F.concat(base, free), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _bits(s["span"], s["kind"], before(s)).alias("bits")))
 
@@ -195,15 +215,15 @@ def spans(text: Column, model: SpanModel) -> Column:
     """All spans as structs (kind, start, end): base spans, then accepted tokens, by kind as listed, then start."""
     score = lambda b: sum((F.when(F.getbit(b, F.lit(i)) == 1, F.lit(w)).otherwise(F.lit(0.0)) for i, w in enumerate(model.weights)), F.lit(model.bias))
     is_key = lambda b: (F.getbit(b, F.lit(4)) == 1) | (F.getbit(b, F.lit(5)) == 1)
-    kept = F.filter(candidates(text), lambda s: (s["kind"] != "id") | (score(s["bits"]) > 0))
+    kept = F.filter(candidates(text), lambda s: ~s["kind"].isin("id", "name") | (score(s["bits"]) > 0))
 
     def named(found: Column) -> Column:
-        tokens = F.filter(found, lambda s: s["kind"] == "id")
+        tokens = F.filter(found, lambda s: s["kind"].isin("id", "name"))
         plain = lambda xs, kind: F.transform(xs, lambda s: F.struct(F.lit(kind).alias("kind") if kind else s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
         return F.concat(
-            plain(F.filter(found, lambda s: s["kind"] != "id"), None),
+            plain(F.filter(found, lambda s: ~s["kind"].isin("id", "name")), None),
             plain(F.filter(tokens, lambda s: is_key(s["bits"])), "key"),
-            plain(F.filter(tokens, lambda s: ~is_key(s["bits"])), "id"),
+            F.array_sort(plain(F.filter(tokens, lambda s: ~is_key(s["bits"])), "id")),
         )
 
     return let(kept, named)
@@ -212,7 +232,8 @@ def spans(text: Column, model: SpanModel) -> Column:
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
     """One row per input row: id and spans, an array of structs (kind, start, end), end exclusive, in code points.
 
-    Base spans (email, ip, card, phone) are all there; key and id spans are those the span classifier accepts. A
+    Base spans (email, ip, card, phone) are all there; key and id spans (tokens, names of the gazetteer) are those the
+    span classifier accepts. A
     null or empty text has none. Repeated rows stay, ids may be null, other columns are not read, an empty table
     gives no rows (and a model without evidence). Two narrow scans; only counts per bit pattern are shuffled.
     """
