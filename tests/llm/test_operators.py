@@ -147,6 +147,16 @@ def test_decontamination_finds_passages(spark):
     assert [r["start"] for r in rows if r["doc_id"] == 1] == [9]
 
 
+def test_decontamination_recall_at_the_threshold(spark):
+    items = [[f"i{k}w{j}" for j in range(50)] for k in range(1000)]
+    # one changed word of 50 leaves 41 of 51 shingles: similarity 0.804
+    edited = [" ".join([*w[:25], "changed", *w[26:]]) for w in items]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    rows = decontam.contaminated(docs(spark, ["x", *edited]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(k + 1, k) for k in range(1000)}
+    assert all(abs(r["similarity"] - 41 / 51) < 1e-9 for r in rows)
+
+
 def test_chat_collapse(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (4, 0, "user", None)]
     rows = chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from textmill.llm.common import let, materialise, table
 
 SHINGLE = 5
-#: Hamming radius of the candidates: at weighted similarity 0.8 about 10 of 64 bits differ (cosine 0.89).
-RADIUS = 15
+#: Hamming radius of the candidates: at weighted similarity 0.8 about 10 of 64 bits differ (cosine 0.89), with a deviation of 3.
+RADIUS = 20
 #: Items of one pass over the documents; larger benchmarks take several passes, each with its own bounded literal.
 ITEMS_PER_PASS = 2_000
 BLOCKS, BLOCK_BITS = RADIUS + 1, 64 // (RADIUS + 1)
