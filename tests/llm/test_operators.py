@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -32,6 +33,30 @@ def test_sentencepiece_equals_library(spark):
         assert r["ids"] == want and r["decoded"] == lib.decode(want)
 
 
+def test_sentencepiece_digests_equal_library(spark):
+    import pyarrow.parquet as pq
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ODD + ["x" * 40 + " " + "ab" * 17, "a\x00", "日本 語" * 30, "  a  b  ", "tail ", "\n\n", "▁▁a▁ b", "a " * 40] + pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    rows = sentencepiece_codec.encode_decode(docs(spark, texts), path, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).collect()
+    assert len(rows) == len(texts) and spark.createDataFrame([], DOCS).transform(lambda d: sentencepiece_codec.encode_decode(d, path)).count() == 0
+    for r in rows:
+        ids = lib.encode(texts[r["doc_id"] or 0] or "", add_bos=True, add_eos=True)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_lock_step_equals_the_heap():
+    model = sentencepiece_codec.PieceModel(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read(), cache_bytes=1000)
+    rng = np.random.default_rng(8)
+    chunks = ["".join(rng.choice(list("abcdeilnorst\u2581é"), rng.integers(1, 30))) for _ in range(3000)]
+    cache = {}
+    model.learn(list(dict.fromkeys(chunks)), "", cache)
+    assert all(cache[c] == sentencepiece_codec._packed(model.agenda(c)) for c in chunks)
+    assert model.pack(["a b", "a b"]) == model.pack(["a b"]) * 2 and model.held < 1000
+
+
 def test_license_digest_ignores_case_and_spelling(spark):
     mit = "Copyright (c) 2020 Someone\n" + KNOWN["MIT"].upper().replace("SUBLICENSE", "sublicense").replace(",", "")
     rows = license_scan.scan(docs(spark, [mit, KNOWN["ISC"] + " more", "x\nReleased under the MIT Licence", None])).collect()
@@ -197,5 +222,62 @@ def test_quality_rejects_junk_and_keeps_held_out_trusted_rows(spark):
     assert shares[0] < 0.12 and shares[1] > 0.9
 
 
-def test_ids_digest_format():
-    assert hashlib.sha256(b"\x01\0\0\0\x02\0\0\0").hexdigest() == hashlib.sha256(sentencepiece_codec._packed([1, 2])).hexdigest()
+def _weighted_windows(text, items, threshold=0.8):
+    """Brute force over all windows of a text: {item: best similarity}."""
+    def grams(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+
+    sets = {k: Counter(grams(t)) for k, t in items.items()}
+    df = Counter(g for c in sets.values() for g in c)
+    weigh = lambda g: 4 if df[g] <= 1 else 2 if df[g] <= 4 else 1
+    found = {}
+    sh = grams(text)
+    for k, c in sets.items():
+        mass = sum(n * weigh(g) for g, n in c.items())
+        for lo in range(len(sh)):
+            seen, both, total = Counter(), 0, 0
+            for g in sh[lo:]:
+                seen[g] += 1
+                total += weigh(g)
+                both += weigh(g) if seen[g] <= c[g] else 0
+                if total > mass / threshold:
+                    break
+                if both / (total + mass - both) >= threshold:
+                    found[k] = max(found.get(k, 0), both / (total + mass - both))
+    return found
+
+
+def test_decontamination_equals_brute_force_over_all_windows(spark):
+    rng = np.random.default_rng(11)
+    make = lambda n: [f"v{x}" for x in rng.integers(0, 400, n)]
+    raw = {k: make(int(rng.integers(6, 60))) for k in range(8)}
+    raw[8] = raw[0][:20] + make(10)
+    raw[9] = ["echo"] * 9
+    texts = ["x", "echo " * 40, " ".join(raw[1] * 3)]
+    for k in range(70):
+        w = list(raw[int(rng.integers(0, 9))])
+        cut = int(len(w) * rng.uniform(0, 0.25))
+        w = w[cut:] if k % 3 == 0 else w[: len(w) - cut] if k % 3 == 1 else w
+        if k % 2 and len(w) > 8:
+            w[int(rng.integers(2, len(w) - 2))] = "edit"
+        texts.append(" ".join(make(int(rng.integers(0, 30))) + w + make(int(rng.integers(0, 30)))))
+    items = {k: " ".join(w) for k, w in raw.items()}
+    bench = spark.createDataFrame([*items.items(), (99, None), (98, "")], "item_id long, text string")
+    got = {}
+    for r in decontam.contaminated(docs(spark, texts), bench).collect():
+        got.setdefault(r["doc_id"] or 0, {})[r["item_id"]] = r["similarity"]
+    want = {k: f for k, t in enumerate(texts) if (f := _weighted_windows(t, items))}
+    assert len(want) > 30 and {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in want.items()}
+    assert all(abs(got[k][i] - s) < 1e-9 for k, v in want.items() if k > 2 for i, s in v.items())
+
+
+def test_decontamination_of_a_very_long_item_and_odd_tables(spark):
+    long = " ".join(f"q{k}" for k in range(40_000))
+    bench = spark.createDataFrame([(1, long, "x"), (1, "another text under the same id here", "x"), (None, "no id but a text of some words", "x")], "item_id long, text string, id string")
+    d = docs(spark, ["x", "before " + long, long.replace("q20000 ", "changed ") + " after", "no id but a text of some words"])
+    rows = decontam.contaminated(d, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 1), (2, 1), (3, None)}
+    assert next(r for r in rows if r["doc_id"] == 1)["start"] == 1
+    assert decontam.contaminated(docs(spark, []), bench).count() == 0 and decontam.contaminated(d, bench.limit(0)).count() == 0
+    assert decontam.clean(d, bench).columns == d.columns and decontam.clean(d, bench).count() == 1
