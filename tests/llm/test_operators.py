@@ -207,10 +207,59 @@ def test_folded_weights_equal_the_kernel():
     assert one.texts(["a i d i o t here", "", "thing would"])[0] == pytest.approx(one.margins(["aidiot"])[0], abs=1e-4)
 
 
-def test_quality_table_is_a_distribution(spark):
-    table = quality.fit(docs(spark, ["the quick brown fox. " * 50, None, "Ein Beispiel, das."]).select("text"))
-    total = (2.0 ** table[: 64 * 200].astype(np.float64)).reshape(-1, 64).sum(axis=1)
-    assert np.abs(total - 1).max() < 0.02
+def _plain_kneser_ney(texts, symbols, n_symbols):
+    """Interpolated modified Kneser-Ney by the textbook, on tuples of symbols."""
+    n, counts = quality.ORDER, Counter()
+    for t in texts:
+        s = [quality.END] * (n - 1) + [int(symbols[ord(c)]) for c in t or ""] + [quality.END]
+        counts.update(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
+    levels = {n: counts}
+    for k in range(n - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts = {k: quality.discounts([float(sum(v == j for v in c.values())) for j in (1, 2, 3, 4)]) for k, c in levels.items()}
+    totals = {k: {} for k in levels}
+    for k, c in levels.items():
+        for g, v in c.items():
+            h = totals[k].setdefault(g[:-1], [0, 0.0])
+            h[0], h[1] = h[0] + v, h[1] + cuts[k][min(v, 3) - 1]
+
+    def prob(g):
+        if not g:
+            return 1 / n_symbols
+        k, lower = len(g), prob(g[1:])
+        if g[:-1] not in totals[k]:
+            return lower
+        total, left = totals[k][g[:-1]]
+        c = levels[k].get(g, 0)
+        return (c - (cuts[k][min(c, 3) - 1] if c else 0)) / total + left / total * lower
+
+    return prob
+
+
+def test_quality_model_equals_the_textbook(spark):
+    texts = ["the quick brown fox. " * 5, None, "Ein Beispiel, das 日本 hat.", "", "the quiet town"]
+    trusted = docs(spark, texts).select("text")
+    symbols, models = quality.fit(trusted)
+    prob = _plain_kneser_ney(texts, symbols, int(symbols.max()))
+    tests = ["the quick fox", "zz 漢字 😀", "", "das Beispiel"]
+    g, first, sizes = quality.ngrams(tests, symbols)
+    got = models[0].log2(g)
+    want = []
+    for t in tests:
+        s = [quality.END] * (quality.ORDER - 1) + [int(symbols[ord(c)]) for c in t] + [quality.END]
+        want += [np.log2(prob(tuple(s[i : i + quality.ORDER]))) for i in range(len(s) - quality.ORDER + 1)]
+    assert sizes.tolist() == [len(t) + 1 for t in tests] and np.abs(got - want).max() < 1e-4
+    history = [quality.END, *[int(symbols[ord(c)]) for c in "the"]]
+    assert abs(sum(prob((*history, x)) for x in range(1, int(symbols.max()) + 1)) - 1) < 1e-9
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(3, 1), (4, 1), (None, 1), (5, 0), (6, None)], "doc_id long, quality int")
+    rows = quality.classify(docs(spark, ODD), labels).collect()
+    assert len(rows) == len(ODD) and all(r["perplexity"] > 0 and r["kept"] is not None for r in rows)
+    assert {r["n_symbols"] for r in rows} >= {1, 2, 20001}
+    assert all(r["kept"] for r in quality.classify(docs(spark, ODD), labels.where("quality = 0")).collect())
+    assert quality.classify(docs(spark, []), labels).count() == 0
 
 
 def test_quality_rejects_junk_and_keeps_held_out_trusted_rows(spark):
