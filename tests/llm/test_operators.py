@@ -184,8 +184,10 @@ def test_decontamination_recall_at_the_threshold(spark):
 
 def test_chat_collapse(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (4, 0, "user", None)]
+    turns += [(None, 0, "user", "alone"), (None, 1, "user", "other"), (None, 0, "user", "a")]
     rows = chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
-    assert {(r["conv_id"], r["n_turns"], r["n_logged"]) for r in rows} == {(1, 2, 2), (4, 1, 1)}
+    assert {(r["conv_id"], r["n_turns"], r["n_logged"]) for r in rows} == {(1, 2, 2), (4, 1, 1), (None, 1, 1)}
+    assert len(rows) == 4 and chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string, n_turns int")).count() == 0
 
 
 def test_bloom_levels_and_probabilities(spark):
@@ -328,5 +330,6 @@ def test_decontamination_of_a_very_long_item_and_odd_tables(spark):
     rows = decontam.contaminated(d, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 1), (2, 1), (3, None)}
     assert next(r for r in rows if r["doc_id"] == 1)["start"] == 1
-    assert decontam.contaminated(docs(spark, []), bench).count() == 0 and decontam.contaminated(d, bench.limit(0)).count() == 0
-    assert decontam.clean(d, bench).columns == d.columns and decontam.clean(d, bench).count() == 1
+    assert decontam.contaminated(docs(spark, []), bench).count() == 0
+    left = decontam.clean(d, bench.limit(0))
+    assert left.columns == d.columns and left.count() == 4

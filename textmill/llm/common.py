@@ -16,10 +16,14 @@ __all__ = ["components", "drop", "let", "materialise", "renew", "shared_dir", "t
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests in local mode) a temporary folder is chosen once per session.
+    Where the setting is absent a temporary folder is chosen once per session in local mode; on a cluster, whose
+    executors would each write to a disk of their own, the call fails.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -5,7 +5,8 @@ The kernel counts common subsequences of three letters, gaps allowed, each weigh
 folded to a-z, and runs of single letters are read as one word, so that gapped and inserted-character spellings stay
 close to the plain one. A linear SVM is trained on the Nystrom features of words that separate toxic from other
 labelled documents. Kernel, landmarks and weights fold into one weight per subsequence, which scores any word
-exactly like the kernel expansion; a document's score is the calibrated maximum over all its words.
+exactly like the kernel expansion; a document's score is the calibrated maximum over all its words. Words of more than
+PIECE letters are read in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from textmill.llm.common import materialise, table
 
 DECAY, SPAN, LETTERS = 0.6, 7, 28
-#: Bounds of the fit: labelled rows, words per class, landmarks.
+#: Bounds of the fit: labelled rows, distinct words per class (the most surprising and the most frequent first), landmarks.
 LABELLED_ROWS, INSULTS, OTHERS, LANDMARKS = 40_000, 1_500, 24_000, 256
 CACHE_WORDS = 400_000
+#: Letters of a word that are read at once; longer words are trained and scored in pieces that overlap by half.
+PIECE = 40
 
 class _Fold(dict):
     def __missing__(self, code: int) -> str:
@@ -183,7 +186,7 @@ class Scorer:
             self.seen.clear()
             self.folded.clear()
         plain = {w: fold(w) for w in words}
-        pieces = {f: [f[k : k + 40] for k in range(0, max(1, len(f) - 20), 20)] for f in set(plain.values()) if f not in self.folded}
+        pieces = {f: [f[k : k + PIECE] for k in range(0, max(1, len(f) - PIECE // 2), PIECE // 2)] for f in set(plain.values()) if f not in self.folded}
         by_length: dict[int, list[str]] = {}
         for p in {p for ps in pieces.values() for p in ps}:
             by_length.setdefault(len(p), []).append(p)
@@ -222,8 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple
             counts: dict[str, list] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for f in {fold(w) for w in units(text or "")}:
-                    if 2 < len(f) <= 24:
-                        counts.setdefault(f, [0, 0])[1 if toxic else 0] += 1
+                    for part in {f[k : k + PIECE] for k in range(0, max(1, len(f) - PIECE // 2), PIECE // 2)} if len(f) > 2 else ():
+                        counts.setdefault(part, [0, 0])[1 if toxic else 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1)]], names=["word", "other", "toxic"])
 
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
