@@ -23,6 +23,20 @@ class Spark:
     concat_ordered = staticmethod(lambda x, s, o: f"array_join(transform(array_sort(collect_list(struct({o} as o, {x} as x))), e -> e.x), {s})")
     newline = "chr(10)"
     div = staticmethod(lambda a, b: f"(({a}) div ({b}))")
+    dot = staticmethod(lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)")
+    u64 = staticmethod(lambda x: f"cast(conv(array_join(reverse(regexp_extract_all(substring(sha2({x}, 256), 1, 16), '..', 0)), ''), 16, 10) as decimal(20, 0))")
+    unit = staticmethod(lambda x: f"(cast(floor({Spark.u64(x)} / 2048) as double) / 9007199254740992.0D)")
+    values = staticmethod(lambda rows, names: f"(select * from values {rows} as v({names}))")
+    element = staticmethod(lambda a, i: f"element_at({a}, {i})")
+    array = staticmethod(lambda *xs: f"array({', '.join(xs)})")
+    total = staticmethod(lambda a: f"aggregate({a}, cast(0 as double), (t, v) -> t + v)")
+    ordered_list = staticmethod(lambda x, o: f"transform(array_sort(collect_list(struct({o} as o, {x} as x))), e -> e.x)")
+    range = staticmethod(lambda a, b: f"sequence({a}, {b})")
+    found = staticmethod(lambda x, p: f"regexp_extract_all({x}, r'{p}', 0)")
+    extract = staticmethod(lambda x, p: f"regexp_extract({x}, r'{p}', 1)")
+    group = staticmethod(lambda k: f"${k}")
+    lines = staticmethod(lambda n: "\\n" * n)
+    by_parts = staticmethod(lambda x, p, between, match: f"array_join(transform(arrays_zip(split({x}, r'{p}'), regexp_extract_all({x}, r'{p}', 0)), z -> concat({between('z.`0`')}, coalesce({match('z.`1`')}, ''))), '')")
 
 
 class Duck:
@@ -45,3 +59,17 @@ class Duck:
     concat_ordered = staticmethod(lambda x, s, o: f"string_agg({x}, {s} order by {o})")
     newline = "chr(10)"
     div = staticmethod(lambda a, b: f"(({a}) // ({b}))")
+    dot = staticmethod(lambda a, b: f"list_dot_product({a}::double[], {b}::double[])")
+    u64 = staticmethod(lambda x: f"(list_reduce(list_transform(range(8), lambda byte_no: ('0x' || substring(sha256({x}), 15 - 2 * byte_no, 2))::hugeint), lambda high, low: high * 256 + low))")
+    unit = staticmethod(lambda x: f"(({Duck.u64(x)} // 2048)::double / 9007199254740992.0)")
+    values = staticmethod(lambda rows, names: f"(select * from (values {rows}) v({names}))")
+    element = staticmethod(lambda a, i: f"{a}[{i}]")
+    array = staticmethod(lambda *xs: f"[{', '.join(xs)}]")
+    total = staticmethod(lambda a: f"coalesce(list_sum({a}), 0)")
+    ordered_list = staticmethod(lambda x, o: f"list({x} order by {o})")
+    range = staticmethod(lambda a, b: f"range({a}, {b} + 1)")
+    found = staticmethod(lambda x, p: f"regexp_extract_all({x}, '{p}')")
+    extract = staticmethod(lambda x, p: f"regexp_extract({x}, '{p}', 1)")
+    group = staticmethod(lambda k: f"\\{k}")
+    lines = staticmethod(lambda n: "\n" * n)
+    by_parts = staticmethod(lambda x, p, between, match: f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, '{p}'), regexp_extract_all({x}, '{p}')), lambda z: {between('z[1]')} || coalesce({match('z[2]')}, '')), '')")
