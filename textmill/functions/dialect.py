@@ -54,7 +54,7 @@ class Duck:
     strings = staticmethod(lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]")
     slice = staticmethod(lambda a, i, n: f"list_slice({a}, {i}, {i} + {n} - 1)")
     join = staticmethod(lambda a, s: f"array_to_string({a}, '{s}')")
-    series = staticmethod(lambda a, b: f"unnest(range({a}, {b} + 1))")
+    series = staticmethod(lambda a, b: f"unnest(range(({a})::bigint, ({b})::bigint + 1))")
     explode = staticmethod(lambda a: f"unnest({a})")
     concat_ordered = staticmethod(lambda x, s, o: f"string_agg({x}, {s} order by {o})")
     newline = "chr(10)"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from textmill.operators.corpus import LANE, contaminated_docs, label_histogram
 from textmill.operators.text import words
 
-#: Shares of the four stages of a schedule and the floors of two lanes, as SQL relations.
+#: Shares of the four stages of a schedule and the floors of three lanes, as SQL relations.
 STAGES = "(select 0 as stage, cast(0.40 as double) as share union all select 1, 0.30 union all select 2, 0.15 union all select 3, 0.15)"
-FLOORS = "(select 'indic' as lane, cast(0.10 as double) as floor_share union all select 'reasoning', 0.05)"
+FLOORS = "(select 'indic' as lane, cast(0.08 as double) as floor_share union all select 'reasoning', 0.03 union all select 'agentic', 0.02)"
 
 
 def strip_class_counts(d):

@@ -97,11 +97,6 @@ def mixture_shares(d):
     return f"select {LANE} as lane, count(*) as docs, round(count(*) / cast((select count(*) from documents) as double), 6) as share from documents group by 1"
 
 
-def ledger_verify(d):
-    return f"""with e as (select event_id, {d.sha("concat_ws('|', event_id, user_id, event_type)")} as h from events), c as (select event_id, h, lag(h) over (order by event_id) as prev, lag(event_id) over (order by event_id) as prev_id from e)
-select event_id, {d.sha("concat(coalesce(prev, '0'), h)")} as chained, coalesce(event_id = prev_id + 1, true) as in_sequence from c"""
-
-
 def event_spikes(d):
     if d.name == "spark":
         med = "element_at(array_sort(collect_list(value) over w), cast(floor(size(collect_list(value) over w) / 2) as int) + 1)"
@@ -139,4 +134,4 @@ def consecutive_windows(d):
     return f"select doc_id, start from (select doc_id, n, i * 255 as start from (select doc_id, n, {d.series('0', d.div('n - 1', 255))} as i from (select doc_id, cast({d.size(words(d, 'text'))} as bigint) as n from documents) a where n > 0) c) b where start < n"
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup, prefix_slice, quality_gate, missing_scores, label_histogram, benchmark_fingerprints, contaminated_docs, naive_gram_pairs, firewall_leaks, corpus_hash, conversation_loss_mask, role_transition_anomalies, grouped_turns, first_user_message, degenerate_loops, shard_offsets, concat_packing_segments, largest_remainder_slots, mixture_shares, ledger_verify, event_spikes, regression, grouping_loss, vector_topk, attention_cost_table, lr_schedule, faithful_units_by_lang, consecutive_windows)}
+QUERIES = {f.__name__: f for f in (exact_dedup, prefix_slice, quality_gate, missing_scores, label_histogram, benchmark_fingerprints, contaminated_docs, naive_gram_pairs, firewall_leaks, corpus_hash, conversation_loss_mask, role_transition_anomalies, grouped_turns, first_user_message, degenerate_loops, shard_offsets, concat_packing_segments, largest_remainder_slots, mixture_shares, event_spikes, regression, grouping_loss, vector_topk, attention_cost_table, lr_schedule, faithful_units_by_lang, consecutive_windows)}

@@ -145,7 +145,7 @@ def adam_ratio(d):
 def numeric_features(d):
     """Linear, sign, logarithm and phase features of whole numbers; a phase is of the non-negative remainder."""
     mod = lambda t: f"((v % {t} + {t}) % {t})"
-    phase = ", ".join(f"round(sin(2 * pi() * {mod(t)} / {t}.0), 6) as s{t}, round(cos(2 * pi() * {mod(t)} / {t}.0), 6) as c{t}" for t in PERIODS)
+    phase = ", ".join(f"round(sin(2 * pi() * {mod(t)} / {t}.0), 6) + 0e0 as s{t}, round(cos(2 * pi() * {mod(t)} / {t}.0), 6) + 0e0 as c{t}" for t in PERIODS)
     return f"select v, v / 16384.0e0 as lin, {F('sign(v)')} as sgn, round(case when v = 0 then -1.0 else log10(abs(v)) end, 9) as lg, {phase} from (select g * 37 as v from (select {d.series('-300', '300')} as g) r) q"
 
 
