@@ -97,12 +97,17 @@ def mixture_shares(d):
     return f"select {LANE} as lane, count(*) as docs, round(count(*) / cast((select count(*) from documents) as double), 6) as share from documents group by 1"
 
 
-def event_spikes(d):
+def trailing_median(d):
+    """Events of a user in order with the upper median of the 30 values before."""
     if d.name == "spark":
         med = "element_at(array_sort(collect_list(value) over w), cast(floor(size(collect_list(value) over w) / 2) as int) + 1)"
     else:
         med = "list_sort(list(value) over w)[len(list(value) over w) // 2 + 1]"
-    return f"select event_id, med from (select event_id, value, row_number() over (partition by user_id order by ts, event_id) as rn, case when count(value) over w > 0 then {med} end as med from events window w as (partition by user_id order by ts, event_id rows between 30 preceding and 1 preceding)) q where rn > 8 and value > 1.5 * med"
+    return f"select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as rn, case when count(value) over w > 0 then {med} end as med from events window w as (partition by user_id order by ts, event_id rows between 30 preceding and 1 preceding)"
+
+
+def event_spikes(d):
+    return f"select event_id, med from ({trailing_median(d)}) q where rn > 8 and value > 1.5 * med"
 
 
 def regression(d):

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 from textmill.functions.dialect import Duck, Spark
-from textmill.operators import control, corpus, models, packing, text
+from textmill.operators import audits, control, corpus, models, packing, text
 from textmill.session import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-_TEXTS = text.QUERIES | corpus.QUERIES | control.QUERIES | models.QUERIES | packing.QUERIES
+_TEXTS = text.QUERIES | corpus.QUERIES | control.QUERIES | models.QUERIES | packing.QUERIES | audits.QUERIES
 
 
 def _query(build):
