@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmill.operators.corpus import LANE, contaminated_docs, label_histogram
+from textmill.operators.corpus import LANE, label_histogram
 from textmill.operators.text import words
 
 #: Shares of the four stages of a schedule and the floors of three lanes, as SQL relations.
@@ -37,10 +37,6 @@ def min_token_gate(d):
     return f"select d.doc_id, case when l.quality = 0 then 'low_quality' when d.n < 12 then 'too_short' end as reason from (select doc_id, {d.size(words(d, 'text'))} as n from documents) d left join labels l on l.doc_id = d.doc_id where l.quality = 0 or d.n < 12"
 
 
-def best_contaminating_item(d):
-    return f"select doc_id, item_id, matched from (select doc_id, item_id, matched, row_number() over (partition by doc_id order by matched desc, item_id) as rn from ({contaminated_docs(d)}) c) q where rn = 1"
-
-
 def repeated_actors(d):
     return "select user_id, count(*) as n from events group by user_id having count(*) > 1"
 
@@ -58,7 +54,8 @@ def missing_label_errors(d):
 
 
 def length_bands(d):
-    return f"select b.band, b.lo, b.hi, count(d.doc_id) as docs from (select i as band, i * 2000 as lo, i * 2000 + 1999 as hi from (select {d.series('0', '80')} as i) q) b left join documents d on d.n_chars between b.lo and b.hi group by b.band, b.lo, b.hi"
+    """Documents by band of length: the range join as an equi-join on the band that a length falls in."""
+    return f"select b.band, b.lo, b.hi, count(d.doc_id) as docs from (select i as band, i * 2000 as lo, i * 2000 + 1999 as hi from (select {d.series('0', '80')} as i) q) b left join documents d on {d.div('d.n_chars', 2000)} = b.band and d.n_chars between b.lo and b.hi group by b.band, b.lo, b.hi"
 
 
 def slope_change(d):
@@ -123,4 +120,4 @@ def label_share_range(d):
     return f"select lang, min(docs) as fewest, max(docs) as most from ({label_histogram(d)}) h where lang is not null and toxic is not null group by lang"
 
 
-QUERIES = {f.__name__: f for f in (strip_class_counts, strip_fences, visible_text, short_hash, canary_ids, min_token_gate, best_contaminating_item, repeated_actors, weighted_and_plain_means, rollup_counts, missing_label_errors, length_bands, slope_change, blocked_split, first_and_last_means, contiguity_check, cyclic_position, turn_word_jaccard, benchmark_word_sets, run_matrix, repeat_by_weight, block_causal_counts, stage_boundaries, floor_token_demand, lane_floor_check, label_share_range)}
+QUERIES = {f.__name__: f for f in (strip_class_counts, strip_fences, visible_text, short_hash, canary_ids, min_token_gate, repeated_actors, weighted_and_plain_means, rollup_counts, missing_label_errors, length_bands, slope_change, blocked_split, first_and_last_means, contiguity_check, cyclic_position, turn_word_jaccard, benchmark_word_sets, run_matrix, repeat_by_weight, block_causal_counts, stage_boundaries, floor_token_demand, lane_floor_check, label_share_range)}

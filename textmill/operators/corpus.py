@@ -8,11 +8,13 @@ LANE = "case lang when 'en' then 'web' when 'de' then 'code' when 'fr' then 'ind
 
 
 def exact_dedup(d):
-    return f"select doc_id, rn = 1 as kept from (select doc_id, row_number() over (partition by {d.sha('text')} order by doc_id) as rn from documents) q"
+    """The first of equal texts stays: digests are aggregated, so a large group of copies is one row a task."""
+    return f"with h as (select doc_id, {d.sha('text')} as h from documents), f as (select h, min(doc_id) as first_id from h group by h) select h.doc_id, h.doc_id = f.first_id as kept from h join f on f.h = h.h"
 
 
 def prefix_slice(d):
-    return "select doc_id, cum from (select doc_id, n_chars, cast(sum(n_chars) over (order by doc_id rows between unbounded preceding and current row) as bigint) as cum from documents) q where cum - n_chars < 1000000"
+    """Rows in order until a budget of characters is reached: sums of blocks of 1024 ids, then of the rows of a block."""
+    return f"with b as (select {d.div('doc_id', 1024)} as block, sum(n_chars) as n from documents group by 1), o as (select block, sum(n) over (order by block) - n as before from b) select doc_id, cum from (select d.doc_id, d.n_chars, cast(o.before + sum(d.n_chars) over (partition by {d.div('d.doc_id', 1024)} order by d.doc_id) as bigint) as cum from documents d join o on o.block = {d.div('d.doc_id', 1024)} where o.before < 1000000) q where cum - n_chars < 1000000"
 
 
 def quality_gate(d):
@@ -35,24 +37,14 @@ def benchmark_fingerprints(d):
     return f"with g as ({_grams(d, 'benchmark', 'item_id', 13)}) select item_id, count(*) as grams, {d.sha('min(gram)')} as first_gram from g group by item_id"
 
 
-def contaminated_docs(d):
-    return f"""with b as ({_grams(d, 'benchmark', 'item_id', 13)}), t as ({_grams(d, 'documents', 'doc_id', 13)}),
-multi as (select gram from b group by gram having count(*) >= 2), rare as (select * from b where gram not in (select gram from multi)),
-n as (select item_id, count(*) as n from rare group by item_id)
-select t.doc_id, rare.item_id, count(*) as matched from t join rare on rare.gram = t.gram join n on n.item_id = rare.item_id group by t.doc_id, rare.item_id, n.n having count(*) >= 3 and count(*) / cast(n.n as double) >= 0.35"""
-
-
-def naive_gram_pairs(d):
-    return f"with b as ({_grams(d, 'benchmark', 'item_id', 13)}), t as ({_grams(d, 'documents', 'doc_id', 13)}) select count(*) as pairs from (select distinct t.doc_id, b.item_id from t join b on b.gram = t.gram) q"
-
-
 def firewall_leaks(d):
     return f"with e as (select distinct {d.sha('text')} as h from documents where doc_id % 20 = 0) select doc_id, 'eval_firewall' as reason from documents where doc_id % 20 <> 0 and {d.sha('text')} in (select h from e)"
 
 
 def corpus_hash(d):
-    inner = "concat_ws(chr(10), array_sort(collect_list(h)))" if d.name == "spark" else "string_agg(h, chr(10) order by h)"
-    return f"select lang, {d.sha(inner)} as content_hash from (select lang, {d.sha('text')} as h from documents) q group by lang"
+    """Digest of a language's text digests in order, by their first two hex digits, and the digest over these 256 parts."""
+    join = lambda x: f"concat_ws(chr(10), array_sort(collect_list({x})))" if d.name == "spark" else f"string_agg({x}, chr(10) order by {x})"
+    return f"select lang, {d.sha(join('part'))} as content_hash from (select lang, concat(substring(h, 1, 2), {d.sha(join('h'))}) as part from (select lang, {d.sha('text')} as h from documents) q group by lang, substring(h, 1, 2)) p group by lang"
 
 
 def conversation_loss_mask(d):
@@ -77,7 +69,10 @@ select user_id, event_type, min(event_id) as first_event, count(*) as run_length
 
 
 def shard_offsets(d):
-    return f"select doc_id, lane, cast(coalesce(sum(n + 1) over (partition by lane order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as token_start, n + 1 as n_tokens from (select doc_id, {LANE} as lane, cast({d.size(words(d, 'text'))} as bigint) as n from documents) q"
+    """Token offsets of the documents of a lane: sums of blocks of 1024 ids, then of the documents of a block."""
+    block = d.div("doc_id", 1024)
+    return f"""select x.doc_id, x.lane, cast(o.before + sum(x.n + 1) over (partition by x.lane, x.block order by x.doc_id) - (x.n + 1) as bigint) as token_start, x.n + 1 as n_tokens from (select doc_id, {LANE} as lane, {block} as block, cast({d.size(words(d, 'text'))} as bigint) as n from documents) x
+join (select lane, block, sum(n) over (partition by lane order by block) - n as before from (select {LANE} as lane, {block} as block, cast(sum({d.size(words(d, 'text'))} + 1) as bigint) as n from documents group by 1, 2) s) o on o.lane = x.lane and o.block = x.block"""
 
 
 def concat_packing_segments(d):
@@ -139,4 +134,4 @@ def consecutive_windows(d):
     return f"select doc_id, start from (select doc_id, n, i * 255 as start from (select doc_id, n, {d.series('0', d.div('n - 1', 255))} as i from (select doc_id, cast({d.size(words(d, 'text'))} as bigint) as n from documents) a where n > 0) c) b where start < n"
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup, prefix_slice, quality_gate, missing_scores, label_histogram, benchmark_fingerprints, contaminated_docs, naive_gram_pairs, firewall_leaks, corpus_hash, conversation_loss_mask, role_transition_anomalies, grouped_turns, first_user_message, degenerate_loops, shard_offsets, concat_packing_segments, largest_remainder_slots, mixture_shares, event_spikes, regression, grouping_loss, vector_topk, attention_cost_table, lr_schedule, faithful_units_by_lang, consecutive_windows)}
+QUERIES = {f.__name__: f for f in (exact_dedup, prefix_slice, quality_gate, missing_scores, label_histogram, benchmark_fingerprints, firewall_leaks, corpus_hash, conversation_loss_mask, role_transition_anomalies, grouped_turns, first_user_message, degenerate_loops, shard_offsets, concat_packing_segments, largest_remainder_slots, mixture_shares, event_spikes, regression, grouping_loss, vector_topk, attention_cost_table, lr_schedule, faithful_units_by_lang, consecutive_windows)}

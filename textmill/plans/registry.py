@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 from textmill.functions.dialect import Duck, Spark
-from textmill.operators import audits, control, corpus, models, packing, text
+from textmill.operators import audits, control, corpus, dedup, exact, models, packing, text
 from textmill.session import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-_TEXTS = text.QUERIES | corpus.QUERIES | control.QUERIES | models.QUERIES | packing.QUERIES | audits.QUERIES
+_TEXTS = text.QUERIES | corpus.QUERIES | control.QUERIES | models.QUERIES | packing.QUERIES | audits.QUERIES | dedup.QUERIES
 
 
 def _query(build):
@@ -27,5 +27,5 @@ def _query(build):
     return run
 
 
-QUERIES = {name: _query(build) for name, build in _TEXTS.items()}
-ORACLES = {name: build(Duck) for name, build in _TEXTS.items()}
+QUERIES = {name: _query(build) for name, build in _TEXTS.items()} | dedup.DIRECT | exact.DIRECT
+ORACLES = {name: build(Duck) for name, build in _TEXTS.items()} | dedup.ORACLES | exact.ORACLES
