@@ -98,7 +98,7 @@ def rotated_vectors(d):
     """Vectors with each pair of dimensions turned by the angle of their position."""
     a = "(p * pow(cast(10000 as double), -2.0e0 * k / 64))"
     x, y = F(d.element("embedding", "2 * k + 1")), F(d.element("embedding", "2 * k + 2"))
-    return f"""select vec_id, k, round({x} * cos{a} - {y} * sin{a}, 5) as x, round({x} * sin{a} + {y} * cos{a}, 5) as y
+    return f"""select vec_id, k, round({x} * cos{a} - {y} * sin{a}, 5) + 0e0 as x, round({x} * sin{a} + {y} * cos{a}, 5) + 0e0 as y
 from (select vec_id, embedding, vec_id % 128 as p, cast(k as int) as k from (select vec_id, embedding, {d.series('0', '31')} as k from embeddings) g) q"""
 
 
