@@ -156,6 +156,26 @@ def test_lattice_links_equal_brute_force(spark):
     assert got[205]["n_links"] == 1 and got[205]["component_id"] == 204 and all(got[k]["kept"] for k in (200, 201, 202, 203))
 
 
+def test_lattice_cuts_large_cells_and_takes_any_dimension(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "CELL_ROWS", 7)
+    rng = np.random.default_rng(12)
+    rows = []
+    for dim in (16, 64):
+        x = np.repeat(rng.standard_normal((4, dim)), 40, axis=0)
+        x += rng.standard_normal(x.shape) * 0.1
+        rows += [(len(rows) + k, x[k].tolist(), "ab"[k % 2]) for k in range(len(x))]
+    rows += [(1000 + k, rows[5][1], rows[5][2]) for k in range(9)] + [(None, [1.0], "a"), (2000, [], "a"), (2001, [None, 1.0], "b")]
+    got = {r["vec_id"]: r for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert len(got) == len(rows)
+    unit = [(i, label, np.array(v) / np.linalg.norm(v)) for i, v, label in rows if i is not None and i < 2000]
+    for i, label, v in unit:
+        near = [k for k, other, w in unit if k != i and other == label and len(w) == len(v) and v @ w >= 0.98]
+        assert got[i]["n_links"] == len(near) and got[i]["component_id"] <= min([i, *near])
+    assert got[2000]["kept"] and got[2001]["kept"] and got[None]["n_links"] == 0
+    assert max(r["n_links"] for r in got.values()) > 14
+    assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, node int")).count() == 0
+
+
 def test_e8_decodes_to_the_nearest_point():
     x = np.random.default_rng(3).standard_normal((500, 8)) * 2
     p = lattice.e8_nearest(x) / 2

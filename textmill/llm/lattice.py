@@ -21,8 +21,8 @@ from textmill.llm.common import components, materialise, table
 SEED = 8128
 #: Tables, blocks of eight dimensions per table, and side of the lattice for 64 dimensions (a block holds a larger
 #: share of a shorter vector, so the side grows with the root of 64 / dimensions): at cosine 0.98 a pair shares a table with
-#: a probability of about 0.85, and misses all of them with about 1e-5 (measured in the tests against brute force).
-TABLES, BLOCKS, SCALE = 6, 2, 0.3
+#: a probability of 0.76 to 0.78, and misses all of them with about 1e-5; pairs of greater cosine meet more often.
+TABLES, BLOCKS, SCALE = 8, 2, 0.3
 #: Vectors of a cell that are compared within one group; larger cells are cut into blocks of about this size.
 CELL_ROWS = 1500
 
@@ -81,7 +81,7 @@ class Hasher:
 
         out = np.zeros((len(unit), TABLES, 1 + BLOCKS), np.uint64)
         for t, turn in enumerate(self.turns):
-            flat = unit @ turn
+            flat = np.einsum("nd,dk->nk", unit, turn)  # the same bits for a vector in any batch, unlike a blocked product
             own, beside = [], []
             for b in range(BLOCKS):
                 x = flat[:, 8 * b : 8 * b + 8]
@@ -97,83 +97,118 @@ class Hasher:
 
 
 def _classes(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with node and usable, distinct usable vectors): equal vectors of a label are one node with a weight."""
+    """(rows with the 128 bits h1, h2 of a usable vector, distinct usable vectors): equal vectors of a label are one node with a weight."""
     v = F.col("vec")
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = v.isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall(v, number), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # no negative zero
-    rows = rows.select("id", "vec", "label", usable.alias("usable")).withColumn("node", F.when(F.col("usable"), F.xxhash64("label", "vec")))
-    nodes = rows.where("usable").groupBy("node").agg(F.count("*").alias("weight"), F.min("id").alias("first_id"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    return rows, nodes
+    kind = "float" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"), F.col(label_col).alias("label"))
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind)))  # no negative zero
+    rows = rows.select("id", "vec", "label", usable.alias("usable"))
+    rows = rows.withColumn("h1", F.when(F.col("usable"), F.xxhash64("label", "vec"))).withColumn("h2", F.when(F.col("usable"), F.xxhash64(F.lit(SEED), "vec", "label")))
+    nodes = rows.where("usable").groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.min("id").alias("first_id"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    return rows, nodes.withColumn("node", F.monotonically_increasing_id())
+
+
+def _unit(x):
+    """Rows of x in double precision at length 1, without overflow."""
+    import numpy as np
+
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """(node, weight, vec, spot, key, home) for every cell a vector is written to; vec is a unit vector in binary."""
+    """(node, spot, key, home) for every cell a vector is written to; the vector itself stays behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         hashers: dict[int, Hasher] = {}
         for batch in batches:
-            vecs = batch.column("vec").to_pylist()
-            by_dim: dict[int, list[int]] = {}
-            for i, x in enumerate(vecs):
-                by_dim.setdefault(len(x), []).append(i)
-            for dim, rows in by_dim.items():
-                x = np.array([vecs[i] for i in rows], np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                hasher = hashers.setdefault(dim, Hasher(dim))
-                keys = hasher.cells(x)
-                label = batch.column("label_key").take(pa.array(rows)).to_numpy(zero_copy_only=False)
+            vecs = batch.column("vec")
+            dims = np.asarray(vecs.value_lengths())
+            for dim in np.unique(dims).tolist():
+                rows = pa.array(np.flatnonzero(dims == dim))
+                x = _unit(vecs.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim))
+                keys = hashers.setdefault(dim, Hasher(dim)).cells(x)
+                label = batch.column("label_key").take(rows).to_numpy(zero_copy_only=False)
                 keys = keys ^ (label * np.int64(-7046029254386353131) + np.int64(dim))[:, None, None]
                 n, spots = len(rows), TABLES * (1 + BLOCKS)
-                at = np.repeat(np.arange(n), spots)
-                blobs = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("node").take(pa.array(rows)).take(pa.array(at)), batch.column("weight").take(pa.array(rows)).take(pa.array(at)), blobs.take(pa.array(at)),
+                        batch.column("node").take(rows).take(pa.array(np.repeat(np.arange(n), spots))),
                         pa.array(np.tile(np.repeat(np.arange(TABLES), 1 + BLOCKS), n), pa.int32()), pa.array(keys.reshape(-1), pa.int64()),
                         pa.array(np.tile(np.arange(1 + BLOCKS) == 0, n * TABLES)),
                     ],
-                    names=["node", "weight", "vec", "spot", "key", "home"],
+                    names=["node", "spot", "key", "home"],
                 )
 
-    slim = nodes.select("node", "weight", "vec", F.xxhash64("label").alias("label_key"))
-    return slim.mapInArrow(run, "node bigint, weight bigint, vec binary, spot int, key bigint, home boolean")
+    slim = nodes.select("node", "vec", F.xxhash64("label").alias("label_key"))
+    return slim.mapInArrow(run, "node bigint, spot int, key bigint, home boolean")
 
 
-def _compare(threshold: float):
-    """Streams rows sorted by group and compares each group once it is complete."""
+#: Rows equal in these are compared with each other.
+GROUP = ["spot", "key", "dim", "lo", "hi"]
+#: Rows and pairs of complete groups that a task gathers before it settles which of the pairs are its own.
+GATHER_ROWS, GATHER_PAIRS = 20_000, 1 << 19
+
+
+class _Links:
+    """Links of complete groups of one dimension, settled for many groups in one vectorised pass."""
+
+    def __init__(self, dim: int, threshold: float):
+        self.hasher, self.dim, self.threshold = Hasher(dim), dim, threshold
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.pairs, self.n_rows, self.n_pairs = [], [], 0, 0
 
-    def links(group: dict) -> list:
+    def add(self, batches: list[pa.RecordBatch], spot: int, lo: int, hi: int) -> None:
+        """One group: pairs at the threshold, one of the two at home."""
         import numpy as np
 
-        x = np.frombuffer(b"".join(group["vec"]), np.float64).reshape(len(group["node"]), -1)
-        node, home, weight, block = (np.array(group[c]) for c in ("node", "home", "weight", "block"))
-        lo, hi, table_no = group["lo"], group["hi"], group["spot"]
-        first, second = (np.arange(len(x)), np.arange(len(x))) if lo == hi else (np.flatnonzero(block == lo), np.flatnonzero(block == hi))
-        i, j = np.nonzero((x[first] @ x[second].T >= threshold) & (home[first][:, None] | home[second][None, :]))
+        n = sum(b.num_rows for b in batches)
+        if n < 2:
+            return
+        col = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches])
+        node, home, weight, block = (col(c) for c in ("node", "home", "weight", "block"))
+        x = _unit(np.concatenate([b.column("vec").flatten().to_numpy(zero_copy_only=False) for b in batches]).reshape(n, self.dim))
+        first, second = (np.arange(n), np.arange(n)) if lo == hi else (np.flatnonzero(block == lo), np.flatnonzero(block == hi))
+        i, j = np.nonzero((x[first] @ x[second].T >= self.threshold) & (home[first][:, None] | home[second][None, :]))
         i, j = first[i], second[j]
-        keep = node[i] != node[j]
-        if lo == hi:
-            keep &= i < j
+        keep = (node[i] != node[j]) & ((i < j) | (lo != hi))
         i, j = i[keep], j[keep]
-        if not len(i):
-            return []
-        cells = Hasher(x.shape[1]).cells(x) if group["hasher"] is None else group["hasher"].cells(x)
+        if len(i):
+            self.parts.append((x, node, home, weight))
+            self.pairs.append((i + self.n_rows, j + self.n_rows, np.full(len(i), spot)))
+            self.n_rows += n
+            self.n_pairs += len(i)
+
+    def settle(self) -> pa.RecordBatch:
+        """(node, n_links, root): own links of each row, and the smallest row of its group that they reach."""
+        import numpy as np
+
+        if not self.parts:
+            return _rows([], [], [])
+        x, node, home, weight = (np.concatenate(c) for c in zip(*self.parts))
+        i, j, spot = (np.concatenate(c) for c in zip(*self.pairs))
+        self.clear()
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        cells = self.hasher.cells(x[used])
         own = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 17):
-            a, b = cells[i[at : at + (1 << 17)]], cells[j[at : at + (1 << 17)]]
+        for start in range(0, len(i), 1 << 17):
+            part = slice(start, start + (1 << 17))
+            a, b, t = cells[at[: len(i)][part]], cells[at[len(i) :][part]], spot[part]
+            row = np.arange(len(t))
             ab = (a[:, :, :1] == b).any(axis=2)  # home of a among the cells of b
             ba = (b[:, :, :1] == a).any(axis=2)
-            met = ab | ba
-            earlier = met[:, :table_no].any(axis=1)
+            earlier = ((ab | ba) & (np.arange(TABLES) < t[:, None])).any(axis=1)
             # met from both sides in different cells of this table: counts where the smaller node is at home
-            twice = ab[:, table_no] & ba[:, table_no] & (a[:, table_no, 0] != b[:, table_no, 0])
-            small_home = np.where(node[i[at : at + (1 << 17)]] < node[j[at : at + (1 << 17)]], home[i[at : at + (1 << 17)]], home[j[at : at + (1 << 17)]])
-            own[at : at + (1 << 17)] = ~earlier & (~twice | small_home)
+            twice = ab[row, t] & ba[row, t] & (a[row, t, 0] != b[row, t, 0])
+            small_home = np.where(node[i[part]] < node[j[part]], home[i[part]], home[j[part]])
+            own[part] = ~earlier & (~twice | small_home)
         i, j = i[own], j[own]
         n_links = np.zeros(len(x), np.int64)
         np.add.at(n_links, i, weight[j])
@@ -187,38 +222,47 @@ def _compare(threshold: float):
             if (before == root).all():
                 break
         some = np.flatnonzero(n_links)
-        return [(int(node[k]), int(n_links[k]), int(node[root[k]])) for k in some]
+        return _rows(node[some], n_links[some], node[root[some]])
+
+
+def _compare(threshold: float):
+    """Streams rows sorted by group; a group, two blocks of a cell at most, is compared once it is complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict | None = None
-        hashers: dict[int, Hasher] = {}
+        import numpy as np
+
+        links: dict[int, _Links] = {}
+        held: list[pa.RecordBatch] = []
+        sign: tuple = ()
 
-        def close(group):
-            if group is None or len(group["node"]) < 2:
-                return []
-            dim = len(group["vec"][0]) // 8
-            group["hasher"] = hashers.setdefault(dim, Hasher(dim))
-            return links(group)
+        def close() -> None:
+            if held:
+                spot, _, dim, lo, hi = sign
+                links.setdefault(dim, _Links(dim, threshold)).add(held, spot, lo, hi)
 
         for batch in batches:
-            rows = batch.to_pydict()
-            out: list = []
-            for k in range(batch.num_rows):
-                key = (rows["key"][k], rows["lo"][k], rows["hi"][k], rows["spot"][k])
-                if held is None or held["key"] != key:
-                    out += close(held)
-                    held = {"key": key, "lo": key[1], "hi": key[2], "spot": key[3], "node": [], "vec": [], "home": [], "weight": [], "block": []}
-                for c in ("node", "vec", "home", "weight", "block"):
-                    held[c].append(rows[c][k])
-            yield _rows(out)
-        yield _rows(close(held))
+            if not batch.num_rows:
+                continue
+            at = np.column_stack([batch.column(c).to_numpy() for c in GROUP])
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(at[a].tolist())
+                if now != sign:
+                    close()
+                    held, sign = [], now
+                    for some in links.values():
+                        if some.n_rows > GATHER_ROWS or some.n_pairs > GATHER_PAIRS:
+                            yield some.settle()
+                held.append(batch.slice(a, b - a))
+        close()
+        for some in links.values():
+            yield some.settle()
 
     return run
 
 
-def _rows(out: list) -> pa.RecordBatch:
-    cols = list(zip(*out)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["node", "n_links", "root"])
+def _rows(node, n_links, root) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (node, n_links, root)], names=["node", "n_links", "root"])
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -228,26 +272,29 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing: no
     links, their own component, kept. Vectors of different lengths never link. n_links counts other rows linked
     directly, equal vectors included; component_id is the smallest id reachable; kept = (id is component_id).
-    Null ids are fine (never smallest). Repeated rows are rows. Other columns are not read.
+    Null ids are fine (never smallest). Repeated rows are rows. Other columns are not read. Equal vectors are told by
+    128 bits of hash. Cells are found on keys alone; vectors travel only to cells where another vector can meet them.
     """
     rows, nodes = _classes(df, id_col, vec_col, label_col)
     nodes = materialise(nodes)
     keyed = materialise(_keyed(nodes))
-    large = keyed.groupBy("spot", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS).select("spot", "key", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
-    cut = keyed.join(large, ["spot", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    spread = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "node", "weight", "vec", "spot", "key", "home", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    cells = keyed.groupBy("spot", "key").agg(F.count("*").alias("n"), F.max("home").alias("lived_in")).where("n > 1 and lived_in")
+    cells = cells.select("spot", "key", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
+    met = keyed.join(cells, ["spot", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    met = met.join(nodes.select("node", "weight", "vec", F.size("vec").alias("dim")), "node")
+    spread = met.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "node", "weight", "vec", "dim", "spot", "key", "home", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = spread.repartition(width, "spot", "key", "lo", "hi").sortWithinPartitions("spot", "key", "lo", "hi", "node", F.desc("home"))
+    grouped = spread.repartition(width, *GROUP).sortWithinPartitions(*GROUP, "node", F.desc("home"))
     found = materialise(grouped.mapInArrow(_compare(threshold), "node bigint, n_links bigint, root bigint"))
     counts = found.groupBy("node").agg(F.sum("n_links").alias("linked"))
     label = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    whole = nodes.select("node", "weight", "first_id").join(label, "node", "left").join(counts, "node", "left")
-    whole = whole.select("node", "weight", "first_id", F.coalesce("component", "node").alias("component"), F.coalesce("linked", F.lit(0)).alias("linked"))
+    whole = nodes.select("node", "h1", "h2", "weight", "first_id").join(label, "node", "left").join(counts, "node", "left")
+    whole = whole.select("h1", "h2", "weight", "first_id", F.coalesce("component", "node").alias("component"), F.coalesce("linked", F.lit(0)).alias("linked"))
     smallest = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = whole.join(smallest, "component").select("node", (F.col("weight") - 1 + F.col("linked")).alias("n_links"), "component_id")
-    joined = rows.select("id", "node").join(known, "node", "left")
+    known = whole.join(smallest, "component").select("h1", "h2", (F.col("weight") - 1 + F.col("linked")).alias("n_links"), "component_id")
+    joined = rows.select("id", "h1", "h2").join(known, ["h1", "h2"], "left")
     return joined.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
