@@ -151,78 +151,84 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
 #: Rows equal in these are compared with each other.
 GROUP = ["spot", "key", "dim", "lo", "hi"]
-#: Rows and pairs of complete groups that a task gathers before it settles which of the pairs are its own.
-GATHER_ROWS, GATHER_PAIRS = 20_000, 1 << 19
+#: Groups up to this size are compared pair by pair in one pass over all of them, larger ones by a product of matrices.
+SMALL = 64
 
 
-class _Links:
-    """Links of complete groups of one dimension, settled for many groups in one vectorised pass."""
+def _pairs(x, home, starts, ends, lo, hi, block, threshold: float):
+    """(i, j) of all pairs of rows of one group at the threshold, one of the two at home."""
+    import numpy as np
 
-    def __init__(self, dim: int, threshold: float):
-        self.hasher, self.dim, self.threshold = Hasher(dim), dim, threshold
-        self.clear()
+    size = ends - starts
+    small = (size <= SMALL) & (lo == hi)
+    end = np.repeat(np.where(small, ends, 0), size)
+    row = np.arange(len(x))
+    count = np.maximum(end - row - 1, 0)
+    i = np.repeat(row, count)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    some = home[i] | home[j]
+    i, j = i[some], j[some]
+    near = [np.zeros(0, bool)] + [np.einsum("nd,nd->n", x[i[k : k + 16384]], x[j[k : k + 16384]]) >= threshold for k in range(0, len(i), 16384)]
+    near = np.concatenate(near)
+    found = [(i[near], j[near])]
+    for g in np.flatnonzero(~small).tolist():
+        rows = row[starts[g] : ends[g]]
+        first, second = (rows, rows) if lo[g] == hi[g] else (rows[block[rows] == lo[g]], rows[block[rows] == hi[g]])
+        i, j = np.nonzero((x[first] @ x[second].T >= threshold) & (home[first][:, None] | home[second][None, :]))
+        i, j = first[i], second[j]
+        found.append((i, j) if lo[g] != hi[g] else (i[i < j], j[i < j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
-    def clear(self) -> None:
-        self.parts, self.pairs, self.n_rows, self.n_pairs = [], [], 0, 0
 
-    def add(self, batches: list[pa.RecordBatch], spot: int, lo: int, hi: int) -> None:
-        """One group: pairs at the threshold, one of the two at home."""
-        import numpy as np
+def _own(cells, at_i, at_j, spot, node_i, node_j, home_i, home_j):
+    """Whether a pair that meets in table `spot` counts there: no earlier table has it, and one side only."""
+    import numpy as np
 
-        n = sum(b.num_rows for b in batches)
-        if n < 2:
-            return
-        col = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches])
-        node, home, weight, block = (col(c) for c in ("node", "home", "weight", "block"))
-        x = _unit(np.concatenate([b.column("vec").flatten().to_numpy(zero_copy_only=False) for b in batches]).reshape(n, self.dim))
-        first, second = (np.arange(n), np.arange(n)) if lo == hi else (np.flatnonzero(block == lo), np.flatnonzero(block == hi))
-        i, j = np.nonzero((x[first] @ x[second].T >= self.threshold) & (home[first][:, None] | home[second][None, :]))
-        i, j = first[i], second[j]
-        keep = (node[i] != node[j]) & ((i < j) | (lo != hi))
-        i, j = i[keep], j[keep]
-        if len(i):
-            self.parts.append((x, node, home, weight))
-            self.pairs.append((i + self.n_rows, j + self.n_rows, np.full(len(i), spot)))
-            self.n_rows += n
-            self.n_pairs += len(i)
-
-    def settle(self) -> pa.RecordBatch:
-        """(node, n_links, root): own links of each row, and the smallest row of its group that they reach."""
-        import numpy as np
+    own = np.zeros(len(spot), bool)
+    for start in range(0, len(spot), 1 << 17):
+        part = slice(start, start + (1 << 17))
+        a, b, t = cells[at_i[part]], cells[at_j[part]], spot[part]
+        row = np.arange(len(t))
+        ab = (a[:, :, :1] == b).any(axis=2)  # home of a among the cells of b
+        ba = (b[:, :, :1] == a).any(axis=2)
+        earlier = ((ab | ba) & (np.arange(TABLES) < t[:, None])).any(axis=1)
+        # met from both sides in different cells of this table: counts where the smaller node is at home
+        twice = ab[row, t] & ba[row, t] & (a[row, t, 0] != b[row, t, 0])
+        own[part] = ~earlier & (~twice | np.where(node_i[part] < node_j[part], home_i[part], home_j[part]))
+    return own
+
+
+def _links(rows: pa.RecordBatch, hasher: Hasher, threshold: float) -> pa.RecordBatch:
+    """(node, n_links, root) of whole groups of one dimension: own links of each row and the smallest row they reach."""
+    import numpy as np
 
-        if not self.parts:
-            return _rows([], [], [])
-        x, node, home, weight = (np.concatenate(c) for c in zip(*self.parts))
-        i, j, spot = (np.concatenate(c) for c in zip(*self.pairs))
-        self.clear()
-        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        cells = self.hasher.cells(x[used])
-        own = np.zeros(len(i), bool)
-        for start in range(0, len(i), 1 << 17):
-            part = slice(start, start + (1 << 17))
-            a, b, t = cells[at[: len(i)][part]], cells[at[len(i) :][part]], spot[part]
-            row = np.arange(len(t))
-            ab = (a[:, :, :1] == b).any(axis=2)  # home of a among the cells of b
-            ba = (b[:, :, :1] == a).any(axis=2)
-            earlier = ((ab | ba) & (np.arange(TABLES) < t[:, None])).any(axis=1)
-            # met from both sides in different cells of this table: counts where the smaller node is at home
-            twice = ab[row, t] & ba[row, t] & (a[row, t, 0] != b[row, t, 0])
-            small_home = np.where(node[i[part]] < node[j[part]], home[i[part]], home[j[part]])
-            own[part] = ~earlier & (~twice | small_home)
-        i, j = i[own], j[own]
-        n_links = np.zeros(len(x), np.int64)
-        np.add.at(n_links, i, weight[j])
-        np.add.at(n_links, j, weight[i])
-        root = np.arange(len(x))
-        while True:  # smallest member reachable within the group
-            before = root.copy()
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
-            root = root[root]
-            if (before == root).all():
-                break
-        some = np.flatnonzero(n_links)
-        return _rows(node[some], n_links[some], node[root[some]])
+    col = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "home", "weight", "block", *GROUP)}
+    node, home, weight, spot = col["node"], col["home"], col["weight"], col["spot"]
+    sign = np.column_stack([col[c] for c in GROUP])
+    starts = np.concatenate([[0], np.flatnonzero((sign[1:] != sign[:-1]).any(axis=1)) + 1])
+    ends = np.append(starts[1:], len(node))
+    x = _unit(rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(node), hasher.dim))
+    i, j = _pairs(x, home, starts, ends, col["lo"][starts], col["hi"][starts], col["block"], threshold)
+    differ = node[i] != node[j]
+    i, j = i[differ], j[differ]
+    if not len(i):
+        return _rows([], [], [])
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    own = _own(hasher.cells(x[used]), at[: len(i)], at[len(i) :], spot[i], node[i], node[j], home[i], home[j])
+    i, j = i[own], j[own]
+    n_links = np.zeros(len(x), np.int64)
+    np.add.at(n_links, i, weight[j])
+    np.add.at(n_links, j, weight[i])
+    root = np.arange(len(x))
+    while True:  # smallest member reachable within the group
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (before == root).all():
+            break
+    some = np.flatnonzero(n_links)
+    return _rows(node[some], n_links[some], node[root[some]])
 
 
 def _compare(threshold: float):
@@ -231,32 +237,30 @@ def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        links: dict[int, _Links] = {}
+        hashers: dict[int, Hasher] = {}
         held: list[pa.RecordBatch] = []
-        sign: tuple = ()
 
-        def close() -> None:
-            if held:
-                spot, _, dim, lo, hi = sign
-                links.setdefault(dim, _Links(dim, threshold)).add(held, spot, lo, hi)
+        def settle(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            dims = whole.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                some = whole.filter(pa.array(dims == dim)).combine_chunks()
+                yield _links(some.to_batches()[0], hashers.setdefault(dim, Hasher(dim)), threshold)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = np.column_stack([batch.column(c).to_numpy() for c in GROUP])
-            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                now = tuple(at[a].tolist())
-                if now != sign:
-                    close()
-                    held, sign = [], now
-                    for some in links.values():
-                        if some.n_rows > GATHER_ROWS or some.n_pairs > GATHER_PAIRS:
-                            yield some.settle()
-                held.append(batch.slice(a, b - a))
-        close()
-        for some in links.values():
-            yield some.settle()
+            sign = np.column_stack([batch.column(c).to_numpy() for c in GROUP])
+            other = np.flatnonzero((sign != sign[-1]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+            if held and (cut or any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in GROUP)):
+                yield from settle([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield from settle([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield from settle(held)
 
     return run
 
