@@ -353,3 +353,17 @@ def test_decontamination_of_a_very_long_item_and_odd_tables(spark):
     assert decontam.contaminated(docs(spark, []), bench).count() == 0
     left = decontam.clean(d, bench.limit(0))
     assert left.columns == d.columns and left.count() == 4
+
+
+def test_spread_join_equals_plain_join(spark, monkeypatch):
+    """A hot key, a null key and keys without a partner; inner and left, split or not, as a plain join gives them."""
+    from textmill.llm import common
+
+    rows = spark.createDataFrame([("hot", k) for k in range(900)] + [(f"k{k}", k) for k in range(40)] + [(None, 1), ("lone", 2), ("hot", None)], "key string, n int")
+    side = spark.createDataFrame([("hot", 1.0), ("unmet", 2.0), *[(f"k{k}", float(k)) for k in range(40)]], "key string, value double")
+    got = lambda df: sorted(map(tuple, df.select("key", "n", "value").collect()), key=str)
+    for block in (16, 256, 10_000):
+        monkeypatch.setattr(common, "BLOCK_ROWS", block)
+        for how in ("inner", "left"):
+            assert got(common.spread_join(rows, side, "key", "n", how)) == got(rows.join(side, "key", how))
+            assert got(common.spread_join(rows.limit(0), side, "key", "n", how, counted=rows.limit(0))) == []
