@@ -365,5 +365,5 @@ def test_spread_join_equals_plain_join(spark, monkeypatch):
     for block in (16, 256, 10_000):
         monkeypatch.setattr(common, "BLOCK_ROWS", block)
         for how in ("inner", "left"):
-            assert got(common.spread_join(rows, side, "key", "n", how)) == got(rows.join(side, "key", how))
-            assert got(common.spread_join(rows.limit(0), side, "key", "n", how, counted=rows.limit(0))) == []
+            assert got(common.spread_join(rows, side, "key", "n", how, common.hot_keys(rows, "key"))) == got(rows.join(side, "key", how))
+    assert common.hot_keys(rows.limit(0), "key") is None

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from textmill.session import table
 
-__all__ = ["components", "drop", "let", "materialise", "renew", "shared_dir", "spread_join", "table"]
+__all__ = ["components", "drop", "hot_keys", "let", "materialise", "renew", "shared_dir", "spread_join", "table"]
 
-#: A key is split over several tasks above the larger of BLOCK_ROWS rows and one of HOT_KEYS parts of all rows, so that
-#: at most HOT_KEYS keys are split, whatever the input.
+#: Rows of a key that one task takes in any case, and keys that are split at most, whatever the input.
 BLOCK_ROWS, HOT_KEYS = 256, 2048
 
 
@@ -66,19 +65,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
-    """rows joined on key to side, which has one row a key at most; a key of many rows is dealt to several tasks.
+def hot_keys(counted: DataFrame, key: str) -> DataFrame | None:
+    """(key, _parts) of the keys of so many rows that they are split, for spread_join; None where there is none.
+
+    The HOT_KEYS most frequent keys of more than BLOCK_ROWS rows are looked at, and a part holds at least a HOT_KEYS-th
+    of their rows; whatever key is not among them has no more rows than such a part.
+    """
+    counts = counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > BLOCK_ROWS)
+    found = counts.orderBy(F.desc("_rows"), key).limit(HOT_KEYS).collect()
+    block = max(BLOCK_ROWS, sum(r["_rows"] for r in found) // HOT_KEYS)
+    split = [(r[key], -(-r["_rows"] // block)) for r in found if r["_rows"] > block]
+    return counted.sparkSession.createDataFrame(split, f"{key} {counts.schema[key].dataType.simpleString()}, _parts int") if split else None
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows joined on key to side, which has one row a key at most; the keys of hot are dealt to several tasks.
 
     The rows of such a key are dealt by the hash of their column `by`, and its row of side is repeated for each part.
-    counted has the keys of rows, where these are cheaper to count there. Null keys match nothing; how is inner or left.
+    Null keys match nothing; how is inner or left. Which keys are hot changes the plan, never the rows.
     """
-    counted = rows if counted is None else counted
-    block = max(BLOCK_ROWS, -(-counted.count() // HOT_KEYS))
-    hot = counted.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block).where(F.col(key).isNotNull())
-    found = hot.collect()  # HOT_KEYS rows at most
-    if not found:
+    if hot is None:
         return rows.join(side, key, how)
-    parts = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema).select(key, F.ceil(F.col("_rows") / block).cast("int").alias("_parts")))
+    parts = F.broadcast(hot)  # HOT_KEYS rows at most
     dealt = rows.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
     repeated = side.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(repeated, [key, "_part"], how).drop("_part")
@@ -89,7 +97,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternates large-star and small-star steps, which keep the number of edges bounded by the input and
     converge in a logarithmic number of rounds. A node's whole neighbourhood is only ever aggregated (min),
-    never collected, and a hub's edges are joined in several tasks. Nodes without edges do not appear.
+    never collected, so a hub node costs one partial aggregate per task. Nodes without edges do not appear.
     """
     both = lambda e: e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     current = materialise(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
@@ -97,17 +105,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # large star: each node's larger neighbours point to the smallest of the node and its neighbours
         pairs = both(current)
         low = pairs.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
-        starred = spread_join(pairs, low, "src", "dst").where("dst > src")
-        large = materialise(starred.select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct())
+        large = pairs.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
         # small star: each node and its smaller neighbours point to the smallest of them
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         low2 = down.groupBy("src").agg(F.min("dst").alias("low"))
-        small = spread_join(down, low2, "src", "dst").select(F.col("dst").alias("a"), "low").where("a <> low").select(F.col("a").alias("src"), F.col("low").alias("dst")).union(low2.select("src", F.col("low").alias("dst"))).distinct()
+        small = down.join(low2, "src").select(F.col("dst").alias("a"), "low").where("a <> low").select(F.col("a").alias("src"), F.col("low").alias("dst")).union(low2.select("src", F.col("low").alias("dst"))).distinct()
         after = materialise(small)
         # stable when every node points straight at a root: no destination is itself a source
         moving = after.join(after.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").limit(1).count()
         doubled = after.groupBy("src").count().where("count > 1").limit(1).count()
-        drop(current), drop(large)
+        drop(current)
         current = after
         if not moving and not doubled:
             break

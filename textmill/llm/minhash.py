@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, drop, materialise, renew, spread_join, table
+from textmill.llm.common import components, drop, hot_keys, materialise, renew, spread_join, table
 
 SEED = 20240607
 #: Bands of the signature and samples per band: a pair at similarity 0.8 meets in a band with probability 0.998.
@@ -183,8 +183,8 @@ def signatures(docs: DataFrame, weigher, id_col: str, text_col: str) -> DataFram
 
 def _verify(pairs: DataFrame, texts: DataFrame, weigher) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) of nodes; a text that leads many pairs is weighed once per run."""
-    left = spread_join(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", "b")
-    rows = spread_join(left, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", "a", counted=pairs).select("a", "b", "text_a", "text_b")
+    left = spread_join(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", "b", hot=hot_keys(pairs, "a"))
+    rows = spread_join(left, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", "a", hot=hot_keys(pairs, "b")).select("a", "b", "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, held = Weigher(*weigher.value), {}
@@ -246,7 +246,7 @@ def _changes(members: DataFrame, texts: DataFrame, weigher, threshold: float) ->
     must meet. Most changes of near copies are their own, so they do not meet by chance.
     """
     left = members.join(texts.select("node", F.col("text").alias("mine")), "node")
-    rows = spread_join(left, texts.select(F.col("node").alias("leader"), F.col("text").alias("theirs")), "leader", "node", counted=members).select("leader", "node", "taken", "mine", "theirs")
+    rows = spread_join(left, texts.select(F.col("node").alias("leader"), F.col("text").alias("theirs")), "leader", "node", hot=hot_keys(members, "leader")).select("leader", "node", "taken", "mine", "theirs")
     names = ["leader", "node", "taken", "change", "rest", "near", "far", "cost", "spare", "map", "folded", "heavy"]
     longs = pa.list_(pa.int64())
     types = [longs, pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.float64(), pa.float64(), longs, pa.int64(), pa.float64()]
@@ -298,10 +298,11 @@ def _led(active: DataFrame) -> DataFrame:
     Copies that differ from each other still agree with the text in their midst.
     """
     sizes = active.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    sized = materialise(spread_join(active, sizes, "band", "node"))
+    hot = hot_keys(active, "band")
+    sized = materialise(spread_join(active, sizes, "band", "node", hot=hot))
     central = sized.groupBy("node").agg(F.sum("n").alias("near"))
     heads = sized.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("near", F.xxhash64("node"))).alias("leader"))
-    return renew(sized, spread_join(sized, heads, "band", "node").where("node <> leader").select("band", "node", "leader"))
+    return renew(sized, spread_join(sized, heads, "band", "node", hot=hot).where("node <> leader").select("band", "node", "leader"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -352,11 +353,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     links = lambda: done.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     grouped = materialise(components(links()))
     of = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    named = spread_join(judged.join(of("node"), "node", "left"), of("leader"), "leader", "node", "left", counted=judged)
+    hot = hot_keys(judged, "leader")
+    named = spread_join(judged.join(of("node"), "node", "left"), of("leader"), "leader", "node", "left", hot)
     told = materialise(named.select("leader", "node", "similarity", (F.col("similarity") >= threshold).alias("taken"), F.coalesce("node_component", "node").alias("component"), F.coalesce("leader_component", "leader").alias("home")))
     # a leader's members need no search where all are in its component; taken ones none where no other comes near
     apart = told.where("component <> home").groupBy("leader").agg(F.max("similarity").alias("nearest"))
-    members = renew(told, spread_join(told, apart, "leader", "node").where(~F.col("taken") | (F.col("nearest") >= 2 * threshold - 1 - 1e-9)).select("leader", "node", "taken", "component"))
+    members = renew(told, spread_join(told, apart, "leader", "node", hot=hot).where(~F.col("taken") | (F.col("nearest") >= 2 * threshold - 1 - 1e-9)).select("leader", "node", "taken", "component"))
     if not members.isEmpty():
         changes = materialise(_changes(members.select("leader", "node", "taken"), texts, weigher, threshold).join(members.select("leader", "node", "component"), ["leader", "node"]))
         done = compared(_meeting(changes, threshold))
@@ -366,8 +368,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     label = nodes.select("node", "first_id").join(grouped, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     label = materialise(label)
     smallest = label.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    classed = spread_join(label, smallest, "component", "node").select("node", "class_id")
-    return spread_join(signed.select("id", "node"), classed, "node", "id").select("id", "node", "class_id")
+    classed = spread_join(label, smallest, "component", "node", hot=hot_keys(label, "component")).select("node", "class_id")
+    return spread_join(signed.select("id", "node"), classed, "node", "id", hot=hot_keys(signed, "node")).select("id", "node", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
