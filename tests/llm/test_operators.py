@@ -293,6 +293,27 @@ def test_quality_rejects_junk_and_keeps_held_out_trusted_rows(spark):
     assert shares[0] < 0.12 and shares[1] > 0.9
 
 
+def test_quality_learns_from_every_trusted_row(spark, monkeypatch):
+    n, fitted, fit = 20_300, [], quality.fit
+    d = spark.range(n).selectExpr("id as doc_id", "concat('word ', id % 7) as text", "'en' as lang")
+    labels = d.selectExpr("doc_id", "1 as quality")
+    monkeypatch.setattr(quality, "fit", lambda rows, *a: fitted.append(rows.count()) or fit(rows, *a))
+    want = sorted(map(tuple, quality.classify(d, labels).collect()))
+    assert fitted == [n] and len(want) == n
+    monkeypatch.setattr(quality, "TRUSTED_IDS", 10)
+    assert sorted(map(tuple, quality.classify(d, labels).collect())) == want and fitted == [n, n]
+
+
+def test_quality_counts_in_slices_equal_plain_counts(spark, monkeypatch):
+    texts = ["abcab" * 9, None, "", "xyz", "b" * 40, "abcab"] * 5
+    symbols = np.arange(300) + 3
+    grams = Counter(quality.ngrams(texts, symbols)[0].tolist())
+    monkeypatch.setattr(quality, "SLICE", 16)
+    monkeypatch.setattr(quality, "HELD", 3)
+    rows = quality.count_ngrams(docs(spark, texts).coalesce(1), "text", symbols).collect()
+    assert {r["g"]: r["c"] for r in rows} == grams
+
+
 def _weighted_windows(text, items, threshold=0.8):
     """Brute force over all windows of a text: {item: best similarity}."""
     def grams(t):

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import materialise, table
 
-#: Trusted documents the model is fitted on at most (those with the smallest hash of their id).
-TRUSTED_DOCUMENTS = 20_000
+#: Ids of trusted rows are broadcast up to this many; beyond it trusted texts are found by a shuffled join.
+TRUSTED_IDS = 1_000_000
+#: Symbols counted at a time, and distinct n-grams that a task holds before it merges them.
+SLICE, HELD = 1 << 20, 1 << 22
 #: A document is rejected above this quantile of its language's trusted scores, each from the model of the other half.
 CUT = 0.97
 #: Bits to which scores are rounded for the quantiles.
@@ -76,6 +78,18 @@ def ngrams(texts: list, symbols):
     return np.concatenate(parts), np.cumsum([0, *sizes])[:-1], np.array(sizes)
 
 
+def _runs(texts: list) -> Iterator[list]:
+    """texts in runs of about SLICE characters; a longer text is a run of its own."""
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last] or "") <= SLICE):
+            size += len(texts[last] or "")
+            last += 1
+        yield texts[first:last]
+        first = last
+
+
 def count_ngrams(trusted: DataFrame, text_col: str, symbols, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep, g, c): counts of the n-grams of the highest order, summed per task before the shuffle."""
     fields = [trusted.schema[k] for k in keep]
@@ -83,6 +97,10 @@ def count_ngrams(trusted: DataFrame, text_col: str, symbols, keep: tuple[str, ..
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        def merged(parts):
+            g, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return g, np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
         held: dict[tuple, list] = {}
         kinds = []
         for batch in batches:
@@ -90,11 +108,14 @@ def count_ngrams(trusted: DataFrame, text_col: str, symbols, keep: tuple[str, ..
             texts = batch.column(text_col).to_pylist()
             owners = list(zip(*[batch.column(k).to_pylist() for k in keep])) if keep else [()] * len(texts)
             for owner in set(owners):
-                g, n = np.unique(ngrams([t for t, o in zip(texts, owners) if o == owner], symbols)[0], return_counts=True)
-                held.setdefault(owner, []).append((g, n))
+                parts = held.setdefault(owner, [])
+                for some in _runs([t for t, o in zip(texts, owners) if o == owner]):
+                    parts.append(np.unique(ngrams(some, symbols)[0], return_counts=True))
+                    # merged whenever what came since has reached HELD and the size of the first, merged part
+                    if sum(len(p[0]) for p in parts[1:]) > max(HELD, len(parts[0][0])):
+                        parts[:] = [merged(parts)]
         for owner, parts in held.items():
-            g, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
+            g, n = merged(parts)
             yield pa.RecordBatch.from_arrays([*[pa.array([o] * len(g), kind) for o, kind in zip(owner, kinds)], pa.array(g), pa.array(n)], names=[*keep, "g", "c"])
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "g bigint", "c bigint"])
@@ -236,15 +257,11 @@ def scored(docs: DataFrame, symbols, models: dict, id_col: str, text_col: str, l
             n, bits = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for side in (0, 1):
                 rows, first = [k for k, s in enumerate(sides) if s == side], 0
-                while first < len(rows):  # about a million characters at a time, a longer text alone
-                    last, size = first, 0
-                    while last < len(rows) and (last == first or size + len(texts[rows[last]] or "") <= 1 << 20):
-                        size += len(texts[rows[last]] or "")
-                        last += 1
-                    g, starts, sizes = ngrams([texts[k] for k in rows[first:last]], symbols)
-                    n[rows[first:last]] = sizes
-                    bits[rows[first:last]] = -np.add.reduceat(models[side].log2(g), starts)
-                    first = last
+                for some in _runs([texts[k] for k in rows]):
+                    at, first = rows[first : first + len(some)], first + len(some)
+                    g, starts, sizes = ngrams(some, symbols)
+                    n[at] = sizes
+                    bits[at] = -np.add.reduceat(models[side].log2(g), starts)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(n), pa.array(bits)], names=names)
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -256,15 +273,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     perplexity: of the characters of the text and its end. score: the mean bits of a symbol, drawn to PRIOR_BITS with the
     weight of PRIOR symbols, which the verdict rests on. labels has id_col and quality; rows with quality 1 are trusted.
-    At most TRUSTED_DOCUMENTS of them make two models, one of each half of the ids; a document is scored by the model of
+    All of them make two models, one of each half of the ids (MODEL_ROWS bounds the models, beyond it the call fails); a document is scored by the model of
     the other half, so that trusted and other documents alike are new to the model. Thresholds are the CUT quantiles of
     the scores, to STEP, of all trusted rows by language. A language without trusted rows, null included, takes the threshold
     over all languages; without any trusted rows all documents are kept. Null texts count as empty; ids may be null or
     repeat. Other columns are not read.
     """
-    trusted = labels.where("quality = 1").select(F.col(id_col).alias("t")).where("t is not null").distinct()
-    sample = trusted.orderBy(F.xxhash64("t"), "t").limit(TRUSTED_DOCUMENTS)
-    read = docs.join(F.broadcast(sample), F.col(id_col) == F.col("t"), "left_semi")
+    trusted = materialise(labels.where("quality = 1").select(F.col(id_col).alias("t")).where("t is not null").distinct())
+    ids = F.broadcast(trusted) if trusted.count() <= TRUSTED_IDS else trusted
+    read = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("t"), "left_semi")
     symbols, models = fit(read, text_col, 1 - half(id_col))
     score = (F.col("bits") + PRIOR_BITS * PRIOR) / (F.col("n_symbols") + PRIOR)
     scores = materialise(scored(docs, symbols, models, id_col, text_col, lang_col).withColumn("score", score))
