@@ -164,3 +164,18 @@ def test_first_seen_drops_repeats(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("seen").count() == events.select("event_id").distinct().count()
+
+
+def test_ledger_heads_bind_all_segments_in_one_pass(spark, tmp_path):
+    ids = [*range(2990, 12_000, 7), 5, 1_000_000]
+    events = [(i, None if i % 5 == 0 else i % 13, "view") for i in ids] + [(None, 1, "view")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    segments = {}
+    for i in sorted(ids):
+        head, n = segments.get(i // 1000, ("0" * 64, 0))
+        segments[i // 1000] = hashlib.sha256((head + "|".join(map(str, [i, *([] if i % 5 == 0 else [i % 13]), "view"]))).encode()).hexdigest(), n + 1
+    heads = [segments[k][0] for k in sorted(segments)]
+    want = [(k, segments[k][1], heads[j], hashlib.sha256(",".join(heads[: j + 1]).encode()).hexdigest()) for j, k in enumerate(sorted(segments))]
+    df = registry.QUERIES["ledger_heads"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == want
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()  # pairs of segments grow with the square of their number

@@ -27,5 +27,5 @@ def _query(build):
     return run
 
 
-QUERIES = {name: _query(build) for name, build in _TEXTS.items()} | dedup.DIRECT | exact.DIRECT
+QUERIES = {name: _query(build) for name, build in _TEXTS.items()} | packing.DIRECT | dedup.DIRECT | exact.DIRECT
 ORACLES = {name: build(Duck) for name, build in _TEXTS.items()} | dedup.ORACLES | exact.ORACLES
