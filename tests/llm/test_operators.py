@@ -220,6 +220,34 @@ def test_bloom_levels_and_probabilities(spark):
         assert r["train_tokens"] == 9 and r["n_tokens"] == r["n_known"] and r["score"] <= 0 and r["base_score"] <= 0
 
 
+def test_bloom_model_in_many_runs_and_shards_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BROADCAST_BYTES", 0, raising=False)  # no model passes through the driver
+    rng = np.random.default_rng(7)
+    texts = [None if k % 50 == 0 else " ".join(f"W{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) % 500) for k in range(400)]
+    d, id_col = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id"
+    trained = [(t or "").lower() for k, t in enumerate(texts) if k % 3]
+    c = Counter(w for t in trained for w in t.split())
+    c["\n"] = len(trained)
+    total, distinct = sum(c.values()), len(c)
+    once = d.where(f"{id_col} % 3 <> 0")
+    rows = bloom_lm.score(d, once, id_col).collect()
+    assert len(rows) == 400
+    for r in rows:
+        words = [*(texts[r[id_col]] or "").lower().split(), "\n"]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(c[w] > 0 for w in words), total)
+        assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words))
+    want = sorted(map(tuple, rows))
+    monkeypatch.setattr(bloom_lm, "RUN_BYTES", 500)
+    assert np.allclose(sorted(map(tuple, bloom_lm.score(d, once, id_col).collect())), want)
+    assert np.allclose(sorted(map(tuple, bloom_lm.score(d.repartition(5), bloom_lm.F.expr(f"{id_col} % 3 <> 0"), id_col).collect())), want)
+    monkeypatch.setattr(bloom_lm, "SHARD_BYTES", 300)
+    other = bloom_lm.score(d, once, id_col).collect()  # other shards: only false positives of the filter may differ
+    assert np.allclose([r[:-1] for r in want], sorted(tuple(r)[:-1] for r in other))
+    assert np.allclose([r[-1] for r in want], [r[-1] for r in sorted(map(tuple, other))], rtol=0.1, atol=0.5)
+    assert bloom_lm.score(d.limit(0), once, id_col).count() == 0
+    assert {r["train_tokens"] for r in bloom_lm.score(d, d.limit(0), id_col).collect()} == {0}
+
+
 def test_folded_weights_equal_the_kernel():
     weights, bias = toxicity.train(["idiot", "scumbag", "lowelo"], ["tion", "heron", "anble", "thing", "would"] * 3)
     one = toxicity.Scorer(weights, bias)
@@ -308,9 +336,10 @@ def test_quality_counts_in_slices_equal_plain_counts(spark, monkeypatch):
     texts = ["abcab" * 9, None, "", "xyz", "b" * 40, "abcab"] * 5
     symbols = np.arange(300) + 3
     grams = Counter(quality.ngrams(texts, symbols)[0].tolist())
-    monkeypatch.setattr(quality, "SLICE", 16)
     monkeypatch.setattr(quality, "HELD", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     rows = quality.count_ngrams(docs(spark, texts).coalesce(1), "text", symbols).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["g"]: r["c"] for r in rows} == grams
 
 
